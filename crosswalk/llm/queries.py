@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crosswalk.llm.common import table
+from crosswalk.llm import toxicity, transport
+from crosswalk.llm.common import table, train_rows, written
 from crosswalk.llm.packing import pack_documents
 from crosswalk.llm.token_index import read_shards, write_shards
 
@@ -15,6 +17,16 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train_rows("doc_id", 5, 0))
+    return toxicity.score(docs, model).select("doc_id", (~train_rows("doc_id", 5, 0)).alias("held_out"), "score", "predicted", "distance")
+
+
+def op6_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport.digests(transport.store(table(spark, sf_dir, "documents")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
 
@@ -23,5 +35,10 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1))
 
 
-QUERIES = {"op7_packing": op7_packing, "op10_token_index": op10_token_index}
+QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op6_transport": op6_transport,
+    "op7_packing": op7_packing,
+    "op10_token_index": op10_token_index,
+}
 ORACLE: dict[str, str] = {}
