@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosswalk.llm import toxicity, transport
-from crosswalk.llm.common import table, train_rows, written
+from crosswalk.llm import quality, toxicity, transport
+from crosswalk.llm.common import table, train_rows
 from crosswalk.llm.packing import pack_documents
 from crosswalk.llm.token_index import read_shards, write_shards
 
@@ -31,6 +31,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usable = train_rows("doc_id", 3, 1)
+    rows = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable)
+    return rows.select("doc_id", (~usable).alias("held_out"), "score", "predicted")
+
+
 def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1))
 
@@ -39,6 +45,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op6_transport": op6_transport,
     "op7_packing": op7_packing,
+    "op9_quality": op9_quality,
     "op10_token_index": op10_token_index,
 }
 ORACLE: dict[str, str] = {}
