@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crosswalk.llm import quality, toxicity, transport
 from crosswalk.llm.common import table, train_rows
+from crosswalk.llm.near_dup import near_duplicates
 from crosswalk.llm.packing import pack_documents
 from crosswalk.llm.token_index import read_shards, write_shards
 
@@ -31,6 +32,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, capacity=2048)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     usable = train_rows("doc_id", 3, 1)
     rows = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable)
@@ -45,6 +50,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op6_transport": op6_transport,
     "op7_packing": op7_packing,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
     "op10_token_index": op10_token_index,
 }
