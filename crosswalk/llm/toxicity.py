@@ -31,7 +31,7 @@ _CODES: dict[bytes, bytes] = {}
 
 def coded(ws: list[bytes]) -> bytes:
     """The words' codes, one after the other; punctuation around a word doesn't count."""
-    if len(_CODES) > 1_000_000:
+    if len(_CODES) > 400_000:
         _CODES.clear()
     for w in set(ws).difference(_CODES):
         _CODES[w] = hashlib.blake2b(w.strip(EDGES), digest_size=CODE).digest()
@@ -103,7 +103,7 @@ def _steps(points: list[tuple[int, int]]) -> list[tuple[int, float]]:
     return [(int(d), (y + 0.5) / (n + 1)) for d, y, n in done]
 
 
-def fit_texts(rows: list[tuple[str | None, int]], calibrate: int = 4000, seed: int = 7) -> Model:
+def fit_texts(rows: list[tuple[str | None, int]], calibrate: int = 3000, seed: int = 7) -> Model:
     """Fits a model to (text, toxic) rows.
 
     A word marks toxic text off if its share of the toxic texts is more than 50 times that of the ordinary ones, and
@@ -144,7 +144,7 @@ def fit_texts(rows: list[tuple[str | None, int]], calibrate: int = 4000, seed: i
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 4000) -> Model:
     """Fits on about ``sample`` labelled rows of either class at most, picked by a hash of their id, in one task.
 
     ``usable``: a condition on ``id_col``; other rows are not looked at. Of several labels of a document, the highest counts; null ones don't.
@@ -157,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     part = F.when(F.col("y") == 1, sample / max(sample, n.get(1, 0))).otherwise(sample / max(sample, n.get(0, 0)))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(texts.join(picked, "doc_id"), "toxic-sample")
+    # the picked ids number about twice ``sample``, whatever the size of the tables
+    rows = written(texts.join(F.broadcast(picked), "doc_id"), "toxic-sample")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"])
@@ -168,15 +169,15 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     return Model(bytes(got[0]["toxic"]), bytes(got[0]["ordinary"]), [(x["d"], x["p"]) for x in got[0]["steps"]]) if got else Model()
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, distance, score and predicted (1 from a score of 0.5 on) of every row; null and empty texts have distance 0.
 
-    ``keep``: further columns of ``docs`` to return as they are (none may be called like a result). Repeated and null ids keep their rows.
+    ``carry``: return each row of ``docs`` too, as the struct row. Repeated and null ids keep their rows.
     """
     from pyspark.sql.types import IntegerType, DoubleType, StructType
 
     raw = (model.toxic, model.ordinary, model.steps)
-    cols = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in keep if c != id_col])
+    cols = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *([F.struct("*").alias("row")] if carry else []))
     kept = [f for f in cols.schema.fields if f.name != "__text"]
     schema = StructType(kept).add("distance", IntegerType()).add("score", DoubleType()).add("predicted", IntegerType())
 
