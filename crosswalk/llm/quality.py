@@ -89,9 +89,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     return at, np.maximum.accumulate(np.array([(s + 0.5) / (m + 1) for _, s, m in done]))
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """doc_id, x (the statistics of the whole text) and the columns of ``keep``, of every row."""
-    cols = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in keep if c != id_col])
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, x (the statistics of the whole text) and, with ``carry``, the row itself as the struct row, of every row."""
+    cols = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *([F.struct("*").alias("row")] if carry else []))
     schema = StructType([f for f in cols.schema.fields if f.name != "__text"]).add("x", ArrayType(DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, usable, keep: list[str] = ()) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, usable, carry: bool = False) -> DataFrame:
     """Scores of every document by a model fitted to its usable labels; statistics are taken once and written."""
-    rows = written(measured(docs, keep=keep), "statistics")
+    rows = written(measured(docs, carry=carry), "statistics")
     return score(rows, fit(labelled(rows, labels, usable)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosswalk.llm import quality, toxicity, transport
+from crosswalk.llm import mixing, quality, toxicity, transport
 from crosswalk.llm.common import table, train_rows
 from crosswalk.llm.near_dup import near_duplicates
 from crosswalk.llm.packing import pack_documents
@@ -24,6 +24,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (~train_rows("doc_id", 5, 0)).alias("held_out"), "score", "predicted", "distance")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mixed(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"),
+        F.round("__weight", 6).alias("weight"), F.round("__probability", 6).alias("probability"), F.col("__sampled").alias("sampled"),
+    )
+
+
 def op6_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.digests(transport.store(table(spark, sf_dir, "documents")))
 
@@ -48,10 +56,11 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op5_mixing": op5_mixing,
     "op6_transport": op6_transport,
     "op7_packing": op7_packing,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
     "op10_token_index": op10_token_index,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_mixing": mixing.sql()}
