@@ -170,10 +170,13 @@ def id_bounds(df: DataFrame, col: str, parts: int) -> list[int]:
 
 
 def bucket_of(col, bounds: list[int]):
-    """Column: how many bounds are not above the value; 0 for a null."""
-    if not bounds:
+    """Column: how many of the ascending bounds are not above the value, by binary search; 0 for a null."""
+    n = len(bounds)
+    if not n:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= col)), F.lit(0))
+    at = F.array(*[F.lit(b) for b in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= n) & (F.element_at(at, F.least(p + s, F.lit(n))) <= col), p + s).otherwise(p))
 
 
 def parts_for(df: DataFrame, rows_each: int = 6000, n: int | None = None) -> int:

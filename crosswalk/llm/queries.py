@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosswalk.llm import mixing, quality, toxicity, transport
+from crosswalk.llm.boilerplate import main_text
 from crosswalk.llm.common import table, train_rows
+from crosswalk.llm.fingerprint import fingerprints
 from crosswalk.llm.near_dup import near_duplicates
 from crosswalk.llm.packing import pack_documents
 from crosswalk.llm.token_index import read_shards, write_shards
@@ -18,12 +20,20 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train_rows("doc_id", 5, 0))
     return toxicity.score(docs, model).select("doc_id", (~train_rows("doc_id", 5, 0)).alias("held_out"), "score", "predicted", "distance")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -55,7 +65,9 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_fingerprint": op2_fingerprint,
     "op3_toxicity": op3_toxicity,
+    "op4_main_text": op4_main_text,
     "op5_mixing": op5_mixing,
     "op6_transport": op6_transport,
     "op7_packing": op7_packing,
