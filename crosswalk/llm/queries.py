@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosswalk.llm import mixing, quality, toxicity, transport
+from crosswalk.llm import katz, mixing, quality, toxicity, transport
 from crosswalk.llm.boilerplate import main_text
 from crosswalk.llm.common import table, train_rows
 from crosswalk.llm.fingerprint import fingerprints
@@ -20,6 +20,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = katz.scores(table(spark, sf_dir, "documents"), train_rows("doc_id", 7, 2))
+    return rows.select("doc_id", (~F.col("trained_on")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_katz": op1_katz,
     "op2_fingerprint": op2_fingerprint,
     "op3_toxicity": op3_toxicity,
     "op4_main_text": op4_main_text,
