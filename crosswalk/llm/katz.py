@@ -28,7 +28,7 @@ from crosswalk.llm.common import blocks, read_file, shared_dir, write_file, writ
 
 #: counts up to K are discounted
 K = 5
-CHUNK_BYTES, BUCKET_TOKENS = 24 << 20, 2_500_000
+CHUNK_BYTES, BUCKET_TOKENS = 14 << 20, 2_500_000
 START, UNKNOWN = 0, np.uint32(0xFFFFFFFF)
 
 
@@ -187,7 +187,7 @@ def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text
     if not n_chunks:
         return spark.createDataFrame([], SCORES)
     each = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("chunk", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    total = each.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
+    total = each.where("c > 0").groupBy("word").agg(F.sum("c").alias("c"))
     vocab = written(total.orderBy(F.desc("c"), "word").select("word", "c", F.monotonically_increasing_id().alias("m")), "vocabulary")
     # one row a partition, and one a distinct count
     held = {r["p"]: r["n"] for r in vocab.groupBy(F.shiftright("m", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
@@ -283,27 +283,38 @@ def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text
                 rank = ranks(n.as_py(), x.values.to_numpy() if x.is_valid else None)
                 chunk = Chunk.of(read_file(f"{folder}/{number.as_py()}"))
                 h, w, _, both, keys, where = distinct(chunk, rank)
-                order, _ = _dealt(keys, buckets, hot)
-                c = np.zeros(len(keys), np.int64)
+                times = np.zeros(len(h), np.uint32)
                 if len(keys):
-                    c[order] = np.concatenate([_unpacked(y["times"].as_py(), "<u8") for y in r.values]).astype(np.int64)
-                p = stat.probability(w)
-                lp = np.log10(p)
-                if b.is_valid and len(b.values):
-                    at = np.argsort(hs := b.values.field("h").to_numpy())
-                    hs, of, weight = hs[at], b.values.field("of").to_numpy()[at], b.values.field("weight").to_numpy()[at]
-                    spot = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
-                    seen = hs[spot] == h
-                    times = np.zeros(len(h), np.int64)
+                    c = np.empty(len(keys), np.uint32)
+                    c[_dealt(keys, buckets, hot)[0]] = np.concatenate([_unpacked(y["times"].as_py(), "<u8") for y in r.values])
                     times[both] = c[where]
-                    kept = np.where(times <= K, factor[np.minimum(times, K)], 1.0) * times
-                    with np.errstate(divide="ignore"):
-                        lp = np.where(seen, np.log10(np.where(times > 0, kept / of[spot], weight[spot] * p)), lp)
-                base = np.log10((stat.count(w) + 1) / (stat.tokens + stat.size + 1))
-                starts = np.cumsum(chunk.sizes) - chunk.sizes
-                add = lambda v: np.add.reduceat(v, starts)
+                del both, keys, where
+                hs = of = weight = None
+                if b.is_valid and len(b.values):
+                    at = np.argsort(b.values.field("h").to_numpy())
+                    hs, of, weight = (b.values.field(f).to_numpy()[at] for f in ("h", "of", "weight"))
+                ends = np.cumsum(chunk.sizes)
+                base, total, known = np.empty(len(ends)), np.empty(len(ends)), np.empty(len(ends), np.int64)
+                at = 0
+                while at < len(ends):  # some whole texts at a time, about half a million tokens
+                    first = int(ends[at] - chunk.sizes[at])
+                    to = max(at + 1, int(np.searchsorted(ends, first + 500_000, "right")))
+                    some = slice(first, int(ends[to - 1]))
+                    p, n = stat.probability(w[some]), times[some]
+                    lp = np.log10(p)
+                    if hs is not None:
+                        spot = np.minimum(np.searchsorted(hs, h[some]), len(hs) - 1)
+                        seen = hs[spot] == h[some]
+                        kept = np.where(n <= K, factor[np.minimum(n, K)], 1.0) * n
+                        with np.errstate(divide="ignore"):
+                            lp = np.where(seen, np.log10(np.where(n > 0, kept / of[spot], weight[spot] * p)), lp)
+                    starts = ends[at:to] - chunk.sizes[at:to] - first
+                    total[at:to] = np.add.reduceat(lp, starts)
+                    base[at:to] = np.add.reduceat(np.log10((stat.count(w[some]) + 1) / (stat.tokens + stat.size + 1)), starts)
+                    known[at:to] = np.add.reduceat((w[some] != UNKNOWN).astype(np.int64), starts)
+                    at = to
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(chunk.docs, pa.int64()), pa.array(chunk.train), pa.array(chunk.sizes), pa.array(add((w != UNKNOWN).astype(np.int64))), pa.array(np.full(len(starts), stat.tokens)), pa.array(add(base)), pa.array(add(lp))],
+                    [pa.array(chunk.docs, pa.int64()), pa.array(chunk.train), pa.array(chunk.sizes), pa.array(known), pa.array(np.full(len(ends), stat.tokens)), pa.array(base), pa.array(total)],
                     names=["doc_id", "trained_on", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
