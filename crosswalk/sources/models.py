@@ -83,7 +83,7 @@ def role_of(path: Column) -> Column:
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """path (below the folder), size, category and SHA-256 of every file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = F.lit(folder.rstrip("/").split("://")[-1].lstrip("/") + "/")
+    root = folder.rstrip("/").split("://")[-1].lstrip("/") + "/"
     rel = F.substring_index(F.col("path"), root, -1)
     return files.select(rel.alias("path"), F.col("length").alias("size"), role_of(rel).alias("category"), F.sha2("content", 256).alias("digest"))
 
