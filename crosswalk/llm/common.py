@@ -141,12 +141,18 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or with a dot in ``name`` a field of a struct column."""
+    outer, _, inner = name.partition(".")
+    return batch.column(outer).field(inner) if inner else batch.column(outer)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batches with about ``max_bytes`` of text at most; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+        sizes = pa.compute.fill_null(pa.compute.binary_length(column(batch, text)), 0).to_pylist()
         at, total = 0, 0
         for i, n in enumerate(sizes):
             if i > at and total + n > max_bytes:
@@ -156,6 +162,13 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
         yield batch.slice(at)
 
 
+def with_row(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple[DataFrame, str]:
+    """doc_id and the text, or with ``carry`` the whole row as the struct row, and the name of the text for :func:`column`. A text goes to Python once."""
+    if not carry:
+        return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text")), "__text"
+    return docs.withColumn(text_col, F.col(text_col).cast("string")).select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row")), f"row.{text_col}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
-from crosswalk.llm.common import blocks, written
+from crosswalk.llm.common import blocks, column, with_row, written
 
 _CLASS = np.full(256, 9)
 for _k, _own in enumerate((range(97, 123), range(65, 91), range(48, 58), (32, 9, 13), (10,), b".", b",;:", b"!?", b"|/\\<>=_~^`", range(128, 256))):
@@ -89,18 +89,16 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     return at, np.maximum.accumulate(np.array([(s + 0.5) / (m + 1) for _, s, m in done]))
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """doc_id, x (the statistics of the whole text) and, with ``carry``, the row itself as the struct row, of every row."""
-    cols = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *([F.struct("*").alias("row")] if carry else []))
-    schema = StructType([f for f in cols.schema.fields if f.name != "__text"]).add("x", ArrayType(DoubleType()))
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and x (the statistics of the whole text) of every row."""
+    cols, text = with_row(docs, id_col, text_col, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "__text"):
-            x = pa.array([statistics(t) for t in batch.column("__text").to_pylist()], pa.list_(pa.float64()))
-            rest = batch.drop_columns(["__text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, x], names=[*rest.schema.names, "x"])
+        for batch in blocks(batches, text):
+            x = pa.array([statistics(t) for t in batch.column(text).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x], names=["doc_id", "x"])
 
-    return cols.mapInArrow(run, schema)
+    return cols.mapInArrow(run, StructType([cols.schema["doc_id"]]).add("x", ArrayType(DoubleType())))
 
 
 def _summed(rows: DataFrame, sums, size: int, fan: int = 16) -> np.ndarray | None:
@@ -183,7 +181,23 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def score_rows(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score, predicted and the struct row of every row, whose statistics are taken in the same pass."""
+    cols, text = with_row(docs, id_col, text_col, True)
+    schema = StructType(list(cols.schema.fields)).add("score", DoubleType()).add("predicted", IntegerType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, text):
+            x = np.array([statistics(t) for t in column(batch, text).to_pylist()])
+            p = model.probability(model.raw(x))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+
+    return cols.mapInArrow(run, schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, usable, carry: bool = False) -> DataFrame:
-    """Scores of every document by a model fitted to its usable labels; statistics are taken once and written."""
-    rows = written(measured(docs, carry=carry), "statistics")
-    return score(rows, fit(labelled(rows, labels, usable)))
+    """Scores of every document by a model fitted to its usable labels. Statistics are taken once and written; with ``carry``, taken
+    again as the rows are scored, so that texts are not written beside them."""
+    rows = written(measured(docs), "statistics")
+    model = fit(labelled(rows, labels, usable))
+    return score_rows(docs, model) if carry else score(rows, model)

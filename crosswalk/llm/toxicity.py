@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswalk.llm.common import blocks, words
+from crosswalk.llm.common import blocks, column, with_row, words
 
 CODE, WINDOW, LEVEL, DICT_BYTES = 16, 4, 3, 16384
 EDGES = b".,;:!?'\"()[]{}*#$%&|-_<>"
@@ -174,19 +174,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     ``carry``: return each row of ``docs`` too, as the struct row. Repeated and null ids keep their rows.
     """
-    from pyspark.sql.types import IntegerType, DoubleType, StructType
+    from pyspark.sql.types import DoubleType, IntegerType, StructType
 
     raw = (model.toxic, model.ordinary, model.steps)
-    cols = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *([F.struct("*").alias("row")] if carry else []))
-    kept = [f for f in cols.schema.fields if f.name != "__text"]
-    schema = StructType(kept).add("distance", IntegerType()).add("score", DoubleType()).add("predicted", IntegerType())
+    cols, text = with_row(docs, id_col, text_col, carry)
+    schema = StructType([f for f in cols.schema.fields if f.name != "__text"]).add("distance", IntegerType()).add("score", DoubleType()).add("predicted", IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*raw)
-        for batch in blocks(batches, "__text"):
-            d = [m.distance(words(x)) for x in batch.column("__text").to_pylist()]
+        for batch in blocks(batches, text):
+            d = [m.distance(words(x)) for x in column(batch, text).to_pylist()]
             p = [m.probability(x) for x in d]
-            rest = batch.drop_columns(["__text"])
+            rest = batch if carry else batch.drop_columns(["__text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(d, pa.int32()), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32())], names=[*rest.schema.names, "distance", "score", "predicted"])
 
     return cols.mapInArrow(run, schema)
