@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswalk.llm.common import blocks
+from crosswalk.llm.common import blocks, written
 
 #: words that suffixes share at least
 DEPTH = 8
 #: share of a host's pages, and number of pages at least, that hold what is boilerplate inside an article, and outside one
 INSIDE, OUTSIDE = (0.6, 8), (0.1, 3)
 BLOCK_PAGES = 2000
+MOST_BROADCAST = 100_000
 
 _RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title|head"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*)>|<[!?/][^>]*>", re.S | re.I)
@@ -193,6 +194,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     sizes = rows.groupBy(host.alias("host")).agg(F.count("*").alias("n"))
     parsed = rows.withColumn("host", host).mapInArrow(parse, f"page_id {kind}, url string, host string, words string, article boolean")
     big = sizes.select("host", F.ceil(F.col("n") / block_pages).cast("int").alias("parts")).where("parts > 1")
+    # a row for each large host, a few per million pages; sent to every task only if they are few, so that pages move once, by block
+    big = written(big, "large-hosts")
+    big = F.broadcast(big) if big.count() <= MOST_BROADCAST else big
     dealt = parsed.join(big, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "words"), F.coalesce("parts", F.lit(1))))
 
     def clean(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -201,4 +205,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         text = [" ".join(np.array(w, object)[~h]) if h.any() else " ".join(w) for w, h in zip(words, hits, strict=True)]
         return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(x) for x in text]})
 
-    return dealt.groupBy("host", "part").applyInPandas(clean, f"page_id {kind}, url string, text string, n_chars long")
+    return dealt.repartition("host", "part").groupBy("host", "part").applyInPandas(clean, f"page_id {kind}, url string, text string, n_chars long")
