@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -97,6 +98,28 @@ def train_rows(col: str, modulus: int, held: int):
     return F.coalesce(F.crc32(F.col(col).cast("string")) % modulus != held, F.lit(False))
 
 
+#: what a Python worker keeps between tasks, by operator: how to forget it
+KEPT: dict[str, Callable[[], None]] = {}
+_OWNER: list[str] = [""]
+
+
+def release() -> None:
+    """Gives unused memory back to the machine, which the pools of Arrow and the C library would otherwise keep."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def claim(name: str) -> None:
+    """Called as an operator's task begins: a worker that kept words for another operator forgets them, as workers serve one after the other."""
+    if _OWNER[0] != name:
+        for other, forget in KEPT.items():
+            if other != name:
+                forget()
+        _OWNER[0] = name
+        release()
+
+
 class Encoder:
     """Encodes whole texts with a public tokenizer file, keeping the ids of white-space separated pieces.
 
@@ -132,10 +155,12 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT["tokens"] = _ENCODERS.clear
 
 
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker and file."""
+    claim("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -11,7 +11,6 @@ between machines are sorted arrays of distinct pairs, not tokens. A pair's bucke
 
 from __future__ import annotations
 
-import ctypes
 import io
 import math
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswalk.llm.common import blocks, read_file, shared_dir, write_file, written
+from crosswalk.llm.common import blocks, read_file, release, shared_dir, write_file, written
 
 #: counts up to K are discounted
 K = 5
@@ -122,13 +121,6 @@ def _tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return out, sizes + 1, names
 
 
-def _release() -> None:
-    """Gives memory that a chunk no longer needs back to the machine, which the two pools would otherwise keep."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 class Chunk:
     """The tokens of some whole documents, kept in one file of the shared folder."""
 
@@ -190,7 +182,7 @@ def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text
             write_file(f"{folder}/{number}", Chunk(batch.column("doc_id").to_pylist(), learn, sizes, ids).to_bytes())
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([[*names, ""]]), pa.array([counts], pa.list_(pa.int64()))], names=["chunk", "words", "counts"])
             del ids, sizes, names, counts
-            _release()
+            release()
 
     chunks = written(rows.mapInArrow(cut, "chunk long, words array<string>, counts array<long>"), "chunk-words")
     n_chunks = chunks.count()
@@ -242,7 +234,7 @@ def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text
                     at += m
                 yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "times"])
                 del out, keys, where, times, order, learn
-                _release()
+                release()
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
@@ -301,7 +293,7 @@ def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text
                     c[_dealt(keys, buckets, hot)[0]] = np.concatenate([_unpacked(y["times"].as_py(), "<u8") for y in r.values])
                     times[both] = c[where]
                 del both, keys, where
-                _release()
+                release()
                 hs = of = weight = None
                 if b.is_valid and len(b.values):
                     at = np.argsort(b.values.field("h").to_numpy())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswalk.llm.common import blocks, words, written
+from crosswalk.llm.common import KEPT, blocks, claim, words, written
 from crosswalk.llm.components import components, in_blocks, map_groups
 
 ROWS, BANDS = 4, 32
@@ -60,7 +60,11 @@ class Shingles:
 _SHINGLES: dict[int, Shingles] = {}
 
 
+KEPT["shingles"] = _SHINGLES.clear
+
+
 def shingles(size: int) -> Shingles:
+    claim("shingles")
     return _SHINGLES.setdefault(size, Shingles(size))
 
 

@@ -22,15 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswalk.llm.common import blocks, column, with_row, words
+from crosswalk.llm.common import KEPT, blocks, claim, column, with_row, words
 
 CODE, WINDOW, LEVEL, DICT_BYTES = 16, 4, 3, 16384
 EDGES = b".,;:!?'\"()[]{}*#$%&|-_<>"
 _CODES: dict[bytes, bytes] = {}
+KEPT["codes"] = _CODES.clear
 
 
 def coded(ws: list[bytes]) -> bytes:
     """The words' codes, one after the other; punctuation around a word doesn't count."""
+    claim("codes")
     if len(_CODES) > 400_000:
         _CODES.clear()
     for w in set(ws).difference(_CODES):
