@@ -1,8 +1,8 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in DataFrame functions alone.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range, so its size follows the text's. Sketches of parts
-merge to the whole's by union, and of two documents of any sizes the share of one's kept hashes that the other keeps estimates
-how much of it the other contains.
+A sketch keeps every shingle hash below a fixed fraction of the hash range, so its size follows the text's, and, with ``least``, the
+smallest ``least`` hashes whatever they are, so that a short text keeps all. Sketches of parts merge to the whole's by union (without ``least``),
+and of two documents of any sizes the share of one's kept hashes that the other keeps estimates how much of it the other contains.
 """
 
 from __future__ import annotations
@@ -14,21 +14,46 @@ from crosswalk.llm.common import bucket_of, id_bounds, parts_for
 
 #: words in a shingle; one in SCALE hashes is kept
 SIZE, SCALE = 5, 4
+#: hashes that a text of any length keeps, if it has as many
+LEAST = 64
 LONGEST = (1 << 63) - 1
 
 
-def sketch(text: Column, size: int = SIZE, scale: int = SCALE) -> Column:
-    """Ascending distinct hashes below 1/``scale`` of the range, of the lower-cased text's shingles of ``size`` words.
+def _below(scale: int) -> int:
+    return -(1 << 63) + (1 << 64) // scale
+
+
+def _once(a: Column, f) -> Column:
+    """``f`` of a value that is bound once, as the only element of an array, and not made anew for each element of another."""
+    return F.element_at(F.transform(F.array(a), f), 1)
+
+
+def sketch(text: Column, size: int = SIZE, scale: int = SCALE, least: int = 0) -> Column:
+    """Ascending distinct hashes below 1/``scale`` of the range, of the lower-cased text's shingles of ``size`` words; the ``least`` smallest at least.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. Fewer words are one shingle; a text without words, or null, has none. A shingle's hash is that of its words' hashes.
     """
     hashes = F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    # the array is bound once, as the only element of another, and not made anew for each shingle
     whole = lambda h: F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
     each = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - size + 1), lambda i: F.xxhash64(*[F.element_at(h, i + k) for k in range(size)]))
-    made = F.element_at(F.transform(F.array(hashes), lambda h: F.when(F.size(h) >= size, each(h)).otherwise(whole(h))), 1)
-    below = -(1 << 63) + (1 << 64) // scale
-    return F.array_sort(F.array_distinct(F.filter(made, lambda h: h < F.lit(below))))
+    made = _once(hashes, lambda h: F.when(F.size(h) >= size, each(h)).otherwise(whole(h)))
+    if not least:
+        return F.array_sort(F.array_distinct(F.filter(made, lambda h: h < F.lit(_below(scale)))))
+    return _once(F.array_sort(F.array_distinct(made)), lambda a: F.when(F.size(a) <= least, a).otherwise(F.filter(a, lambda h, k: (k < least) | (h < F.lit(_below(scale))))))
+
+
+def bound(a: Column, scale: int = SCALE, least: int = 0) -> Column:
+    """The largest value up to which a sketch has every hash of its text. One of fewer than ``least`` hashes has all."""
+    return F.when(F.size(a) < least, F.lit(LONGEST)).otherwise(F.greatest(F.lit(_below(scale) - 1), F.array_max(a)))
+
+
+def _common(a: Column, b: Column, scale: int, least: int) -> tuple[Column, Column]:
+    """Two sketches up to where both have every hash."""
+    if not least:
+        return a, b
+    upto = F.least(bound(a, scale, least), bound(b, scale, least))
+    part = lambda x: F.when(F.array_max(x) <= upto, x).otherwise(_once(upto, lambda u: F.filter(x, lambda h: h <= u)))
+    return part(a), part(b)
 
 
 def merged(a: Column, b: Column) -> Column:
@@ -36,21 +61,26 @@ def merged(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common shingles among all of both (0 to 1). Two empty sketches are alike."""
-    both = F.size(F.array_intersect(a, b))
-    all_ = F.size(a) + F.size(b) - both
+def likeness(a: Column, b: Column, scale: int = SCALE, least: int = 0) -> Column:
+    """Estimated share of common shingles among all of both (0 to 1). Two empty sketches are alike: with ``least``, only texts without words have such."""
+    x, y = _common(a, b, scale, least)
+    both = F.size(F.array_intersect(x, y))
+    all_ = F.size(x) + F.size(y) - both
     return F.when(all_ == 0, F.lit(1.0)).otherwise(both / all_)
 
 
-def contained(a: Column, b: Column) -> Column:
-    """Estimated share of the first text's shingles that the second has; 1 if the first has none."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def contained(a: Column, b: Column, scale: int = SCALE, least: int = 0) -> Column:
+    """Estimated share of the first text's shingles that the second has; 1 if the first has none.
+
+    Null if the first is so short, and the second so long, that none of the first's hashes is in the part of the range that both keep.
+    """
+    x, y = _common(a, b, scale, least)
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
 
 
 def as_string(a: Column) -> Column:
     """A sketch as text: its hashes, as ten hexadecimal digits each, in base 64."""
-    low = F.transform(a, lambda h: F.lpad(F.lower(F.hex(F.shiftrightunsigned(h - F.lit(-(1 << 63)), 22))), 10, "0"))
+    low = F.transform(a, lambda h: F.lpad(F.lower(F.hex(F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 22))), 10, "0"))
     return F.regexp_replace(F.base64(F.unhex(F.array_join(low, ""))), r"\s", "")
 
 
@@ -78,17 +108,18 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     return made.select(*kept, "__g", *[F.lead(c).over(w).alias(f"next_{c}") for c in kept if c != "doc_id"]).where("__g = 0").drop("__g")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 0) -> DataFrame:
     """Every row's fingerprint, that of its edited text, and how alike they and the next row's are; see :func:`with_next` for the order.
 
     The edited text has the next row's first code points, as many as there are, in place of its own last half.
+    ``least`` is as in :func:`sketch`; with 0, short texts may have empty sketches, which count as alike.
     """
-    rows = with_next(docs, id_col, text_col, before=lambda text: {"sketch": sketch(text)})
+    rows = with_next(docs, id_col, text_col, before=lambda text: {"sketch": sketch(text, least=least)})
     half = F.floor(F.length("text") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited"), least=least).alias("edited_sketch"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", as_string(F.col("sketch")).alias("fingerprint"), as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        contained(F.col("sketch"), F.col("edited_sketch")).alias("contained_edited"), F.size("sketch").alias("n_hashes"),
+        likeness(F.col("sketch"), F.col("edited_sketch"), least=least).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch"), least=least).alias("near_next"),
+        contained(F.col("sketch"), F.col("edited_sketch"), least=least).alias("contained_edited"), F.size("sketch").alias("n_hashes"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crosswalk.llm import katz, mixing, quality, toxicity, transport
 from crosswalk.llm.boilerplate import main_text
 from crosswalk.llm.common import table, train_rows
-from crosswalk.llm.fingerprint import fingerprints
+from crosswalk.llm.fingerprint import LEAST, fingerprints
 from crosswalk.llm.near_dup import near_duplicates
 from crosswalk.llm.packing import pack_documents
 from crosswalk.llm.token_index import read_shards, write_shards
@@ -26,7 +26,7 @@ def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints(table(spark, sf_dir, "documents"), least=LEAST)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,6 +125,34 @@ def test_sketches_merge(spark):
     assert d.select(fingerprint.merged(F.col("a"), F.col("b"))).first()[0] == sorted(sketch_of(a) | sketch_of(b))
 
 
+def test_short_texts_keep_their_hashes(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join(str(rng.randrange(10**9)) for _ in range(n))
+    texts = ["", " "] + [words(n) for n in (*range(1, 14), *range(1, 14), 64, 68, 69, 120, 900) for _ in range(4)]
+    texts += [x + " more" for x in texts]
+    got = fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), least=fingerprint.LEAST).collect()
+
+    def shingles(x):
+        w = x.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1 if w else 0, len(w) - 4))}
+
+    for r in got:
+        t, nxt = texts[r["doc_id"]], texts[(r["doc_id"] + 1) % len(texts)]
+        e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        a, b, c = shingles(t), shingles(e), shingles(nxt)
+        assert (r["n_hashes"] == 0) == (not a) and r["n_hashes"] >= min(len(a), fingerprint.LEAST)
+        for got_, x in ((r["near_edited"], b), (r["near_next"], c)):
+            like = len(a & x) / len(a | x) if a | x else 1.0
+            assert got_ == pytest.approx(like, abs=1e-9 if max(len(a), len(x)) < fingerprint.LEAST else 0.2)
+        if max(len(a), len(b)) < fingerprint.LEAST:
+            assert r["contained_edited"] == pytest.approx(len(a & b) / len(a) if a else 1.0)
+    # a text against its near copy of one word more
+    pairs = spark.createDataFrame([(x, x + " more") for x in texts[2:54]], "a string, b string").select(*[fingerprint.sketch(F.col(c), least=fingerprint.LEAST).alias(c) for c in "ab"], F.col("a").alias("t"))
+    for r in pairs.select("t", fingerprint.likeness(F.col("a"), F.col("b"), least=fingerprint.LEAST).alias("like")).collect():
+        a, b = shingles(r["t"]), shingles(r["t"] + " more")
+        assert r["like"] == pytest.approx(len(a & b) / len(a | b))
+
+
 def toxic_rows(n=600, seed=3):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("an", "er", "on", "th", "re")) for _ in range(rng.randrange(1, 6)))
