@@ -3,6 +3,7 @@
 A page becomes a stream of words: those of its article where it has one, else all words outside menus, footers, forms and
 the like. The streams of a host's pages are concatenated, their suffixes sorted, and suffixes whose first ``DEPTH`` words are equal
 stand together; where they come from enough distinct pages, those words are covered. Covered words are boilerplate and go; the unique runs stay.
+Blocks that begin or end articles go on fewer pages already, as long as the articles beside them are different ones.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from crosswalk.llm.common import blocks, written
 DEPTH = 8
 #: share of a host's pages, and number of pages at least, that hold what is boilerplate inside an article, and outside one
 INSIDE, OUTSIDE = (0.6, 8), (0.1, 3)
+#: the same for whole blocks that begin or end an article; pages whose rest is alike in ALIKE of its runs or more count once
+EDGE, ALIKE = (0.4, 3), 0.5
 BLOCK_PAGES = 2000
 MOST_BROADCAST = 100_000
 
@@ -55,23 +58,29 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
 
 
 def streams(page: str | None) -> tuple[list[str], bool]:
-    """The words that may be a page's main text, in page order, and whether they stand in an article.
+    """The words that may be a page's main text, in page order, and whether they stand in an article."""
+    parts, article = page_blocks(page)
+    return [w for b in parts for w in b], article
+
+
+def page_blocks(page: str | None) -> tuple[list[list[str]], bool]:
+    """The words of each block (paragraph, heading and the like) that may be a page's main text, and whether they stand in an article.
 
     Broken markup is read as far as it goes: an end tag closes the last element of its name, one without a start is passed over.
     """
     page = page or ""
-    inside: list[str] = []
-    outside: list[str] = []
+    inside: list[list[str]] = [[]]
+    outside: list[list[str]] = [[]]
     open_: list[tuple[str, bool, bool]] = []  # name, unwanted, main
     bad = main = at = 0
 
     def text(s: str) -> None:
         if s and not bad:
-            (inside if main else outside).append(s)
+            (inside if main else outside)[-1].append(s)
 
     def gap() -> None:
-        if not bad:
-            (inside if main else outside).append(" ")
+        if not bad and (parts := inside if main else outside)[-1]:
+            parts.append([])
 
     def close(k: int) -> None:
         nonlocal bad, main
@@ -110,8 +119,8 @@ def streams(page: str | None) -> tuple[list[str], bool]:
     if at < len(page):
         text(page[at:])
     for parts, article in ((inside, True), (outside, False)):
-        if ws := _html.unescape("".join(parts)).split():
-            return ws, article
+        if found := [ws for b in parts if (ws := _html.unescape("".join(b)).split())]:
+            return found, article
     return [], False
 
 
@@ -175,6 +184,52 @@ def covered(pages: list[list[str]], article: list[bool], depth: int = DEPTH) ->
     return out
 
 
+def _new_bodies(bodies: Iterator[list[str]], need: float, depth: int) -> bool:
+    """Whether ``need`` bodies at least are each unlike those before: copies and near copies of an article count once."""
+    seen: set[int] = set()
+    n = 0
+    for body in bodies:
+        runs = {hash(tuple(body[i : i + depth])) for i in range(max(1, len(body) - depth + 1))}
+        n += len(runs & seen) < ALIKE * len(runs)
+        seen |= runs
+        if n >= need:
+            return True
+    return False
+
+
+def edges(pages: list[list[list[str]]], article: list[bool], depth: int = DEPTH) -> list[np.ndarray]:
+    """For each page of blocks, which of its words lie in first or last blocks, of ``depth`` words or more together, that enough articles of the host share.
+
+    First blocks may follow one block of the page's own, such as a title. An article never goes whole.
+    """
+    out = [np.zeros(sum(map(len, p)), bool) for p in pages]
+    need = max(EDGE[1], EDGE[0] * len(pages))
+    for skip, step in ((0, 1), (1, 1), (0, -1)):
+        groups = [[k for k, a in enumerate(article) if a]]
+        t = 0
+        while groups:
+            t += 1
+            longer = []
+            for group in groups:
+                by: dict[tuple[str, ...], list[int]] = {}  # pages whose next block, seen from that end, is the same
+                for k in group:
+                    if len(pages[k]) > t + skip:
+                        by.setdefault(tuple(pages[k][skip + t - 1 if step > 0 else -t]), []).append(k)
+                for same in by.values():
+                    cut = slice(skip, skip + t) if step > 0 else slice(-t, None)
+                    body = ([w for b in p[: cut.start] + (p[cut.stop :] if step > 0 else []) for w in b] for p in (pages[k] for k in same))
+                    if len(same) < need or not _new_bodies(body, need, depth):
+                        continue
+                    longer.append(same)
+                    if sum(map(len, pages[same[0]][cut])) < depth:
+                        continue
+                    for k in same:
+                        at = sum(map(len, pages[k][: cut.start]))
+                        out[k][at : at + sum(map(len, pages[k][cut]))] = True
+            groups = longer
+    return [np.zeros_like(hit) if hit.all() else hit for hit in out]
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block_pages: int = BLOCK_PAGES) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row; text is '' where nothing is left. Null html is empty.
 
@@ -187,8 +242,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "html"):
-            got = [streams(x) for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array([" ".join(w) for w, _ in got]), pa.array([a for _, a in got])], names=["page_id", "url", "host", "words", "article"])
+            got = [page_blocks(x) for x in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(["\n".join(map(" ".join, b)) for b, _ in got]), pa.array([a for _, a in got])], names=["page_id", "url", "host", "words", "article"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
     sizes = rows.groupBy(host.alias("host")).agg(F.count("*").alias("n"))
@@ -200,8 +255,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     dealt = parsed.join(big, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "words"), F.coalesce("parts", F.lit(1))))
 
     def clean(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = [w.split(" ") if w else [] for w in pdf["words"]]
-        hits = covered(words, pdf["article"].tolist())
+        parts = [[b.split(" ") for b in w.split("\n")] if w else [] for w in pdf["words"]]
+        words, article = [[w for b in p for w in b] for p in parts], pdf["article"].tolist()
+        hits = [a | b for a, b in zip(covered(words, article), edges(parts, article), strict=True)]
         text = [" ".join(np.array(w, object)[~h]) if h.any() else " ".join(w) for w, h in zip(words, hits, strict=True)]
         return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(x) for x in text]})
 

@@ -233,6 +233,35 @@ def test_boilerplate_goes_and_shared_passages_stay(spark):
     assert {r["page_id"]: r["text"] for r in boilerplate.main_text(d, block_pages=20).collect()}.keys() == {r["page_id"] for r in got}
 
 
+def test_first_and_last_blocks_of_some_articles_go(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    first, last, more, passage, copied = text(9), text(12), text(5), text(60), text(50).split()
+    pages, want = [], {}
+
+    def add(i, host, own, *blocks):
+        pages.append((i, f"http://{host}.test/{i}", "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"))
+        want[i] = " ".join(own)
+
+    for i in range(20):  # half of a host's pages
+        own = [text(3), text(30), text(20)]
+        add(i, "half", own, own[0], *([first] if i % 2 else []), *own[1:], *([last, more] if i % 2 else []))
+    for i in range(20, 24):  # a host of four pages
+        own = [text(40), text(10)]
+        add(i, "few", own, *([first] if i < 23 else []), *own, *([last] if i < 23 else []))
+    for i in range(28, 40):  # a passage that a third of the articles end with
+        own = [text(3), text(30), *([passage] if i % 3 == 0 else [])]
+        add(i, "third", own, *own)
+    for i in range(40, 46):  # copies and near copies of one article, blocks of its own each
+        own = [text(4), " ".join([*copied[:25], *([f"edit{i}"] if i % 2 else []), *copied[25:]]), passage]
+        add(i, "copies", own, *own)
+    for i in range(50, 55):  # pages of the notice alone, and two articles with it
+        own = [last] if i < 53 else [text(30), last]
+        add(i, "alone", own, *own)
+    got = boilerplate.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 def test_raking_holds_the_marginals():
     rng = np.random.default_rng(4)
     cells = pd.DataFrame([(s, g, t, int(rng.integers(1, 1000))) for s in "abc" for g in "xy" for t in "pq"], columns=["source", "lang", "topic", "tokens"])
