@@ -13,30 +13,30 @@ from pyspark.sql import functions as F
 
 from crosswalk.llm.common import blocks, encoder, written
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, at long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text and then ``end_id``, cut into pieces of ``capacity`` only where there are more.
 
     Returns doc_id, piece (from 0), start, length, ids_crc32 (of little-endian unsigned 32-bit ids) and at, a number that no
-    other piece has. A null text has the end id alone; null and repeated ids keep their rows; an empty table gives none.
+    other piece has: its partition's and its own in there, so it stays within 63 bits. A null text has the end id alone; null and repeated ids keep their rows; an empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in blocks(batches):
             out: list[tuple] = []
-            for doc, row, x in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), enc(batch.column("text").to_pylist()), strict=True):
+            for doc, x in zip(batch.column("doc_id").to_pylist(), enc(batch.column("text").to_pylist()), strict=True):
                 x += end
                 for k, at in enumerate(range(0, len(x), 4 * capacity)):
                     part = x[at : at + 4 * capacity]
-                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), row * 1_000_003 + k))
+                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32", "at"], [pa.int64(), pa.int32()] + [pa.int64()] * 4
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(run, PIECES)
+    names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32()] + [pa.int64()] * 3
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, PIECES).withColumn("at", F.monotonically_increasing_id())
 
 
 class _Bins:

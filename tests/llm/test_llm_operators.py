@@ -337,6 +337,14 @@ def test_packing(docs, none):
         assert at <= 64
 
 
+def test_pieces_of_many_partitions(spark):
+    d = spark.range(2400, numPartitions=1200).select(F.col("id").alias("doc_id"), F.lit(LONG[:1000]).alias("text"))
+    some = [0, 1073, 1074, 1199]
+    got = spark.sparkContext.runJob(packing.pieces_of(d, tokenizer_path(), 0, 64).rdd, list, some)
+    assert {r["doc_id"] for r in got} == {2 * p + k for p in some for k in (0, 1)} and len({r["at"] for r in got}) == len(got) > 16
+    assert all(0 <= r["at"] < 1 << 63 for r in got)
+
+
 def test_local_search_raises_the_squared_fill():
     rng, gained = random.Random(6), 0
     for _ in range(30):
