@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crosswalk.llm import katz, mixing, quality, toxicity, transport
 from crosswalk.llm.boilerplate import main_text
-from crosswalk.llm.common import table, train_rows
+from crosswalk.llm.common import table, train_rows, written
 from crosswalk.llm.fingerprint import LEAST, fingerprints
 from crosswalk.llm.near_dup import near_duplicates
 from crosswalk.llm.packing import pack_documents
@@ -48,7 +48,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport.digests(transport.store(table(spark, sf_dir, "documents")))
+    return transport.digests(written(transport.store(table(spark, sf_dir, "documents")), "media"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from crosswalk.llm import boilerplate, common, fingerprint, katz, mixing, near_dup, packing, quality, token_index, toxicity, transport
+from crosswalk.llm import boilerplate, common, fingerprint, katz, mixing, near_dup, packing, quality, queries, token_index, toxicity, transport
 from crosswalk.llm.components import components
 from crosswalk.llm.queries import tokenizer_path
 
@@ -293,6 +293,14 @@ def test_transport(spark, docs, none):
     assert bytes(back[11]["payload"]) == pad and back[11]["units"][1]["time"] == transport.TICKS and back[11]["units"][4]["random_access"] and not back[11]["units"][1]["random_access"]
 
 
+def test_transport_reads_what_is_stored(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_transport(spark, str(tmp_path))
+    files = got.inputFiles()
+    assert files and all("media" in f for f in files) and "media" in spark.read.parquet(*files).columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, transport.digests(transport.store(docs)).collect()))
+
+
 def test_damaged_streams():
     data = random.Random(5).randbytes(60_000)
     m = transport.mux(data)
