@@ -1,19 +1,19 @@
 """Toxicity by compression distance: windows are compressed with a dictionary of toxic and one of ordinary text.
 
-Words are coded as ``CODE`` bytes of their BLAKE2b hash, so that a word which a dictionary holds shortens a window by
-nearly that much and one which it lacks by nothing; letters that words share by chance play no part. Both dictionaries are
-trained by zstandard: the ordinary one on windows of ordinary text; the toxic one on what marks toxic text off from
-ordinary text, followed by the ordinary dictionary, as toxic text has ordinary words too. A window's distance is its length
-under the ordinary dictionary less that under the toxic one; a document's is its largest window's. Calibration turns that into a probability.
+Both dictionaries are trained by zstandard on raw windows of the labelled texts, letters as they stand (A-Z lower-cased). The
+toxic dictionary lies before the ordinary one in the toxic compressor, so a window gets shorter there only by what ordinary text
+lacks. A part of the toxic dictionary stays if it shortens windows of other toxic documents than it was trained on far more often than
+windows of ordinary ones; what toxic documents share with all others goes. A window's distance is its length under the ordinary dictionary less that
+under both, in bytes, both without frame; distances have a log odds each, learned with the labels, and a document's evidence is their sum over
+its overlapping windows by the root of their number. Isotonic regression turns evidence into a probability.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,75 +22,132 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswalk.llm.common import KEPT, blocks, claim, column, with_row, words
+from crosswalk.llm.common import blocks, claim, column, with_row, words, written
 
-CODE, WINDOW, LEVEL, DICT_BYTES = 16, 4, 3, 16384
-EDGES = b".,;:!?'\"()[]{}*#$%&|-_<>"
-_CODES: dict[bytes, bytes] = {}
-KEPT["codes"] = _CODES.clear
+#: words of a window, words from one to the next, and bytes from which a word is cut
+WORDS, STEP, LONGEST = 8, 4, 64
+ORDINARY_BYTES, TOXIC_BYTES, NEAR_BYTES = 1 << 18, 1 << 14, 1 << 15
+#: bytes of a part of the toxic dictionary, and of the pieces that parts are cut to
+PART, PIECE = 64, 16
+#: distances are clipped to these for their log odds
+LOW, HIGH = -3, 15
 
 
-def coded(ws: list[bytes]) -> bytes:
-    """The words' codes, one after the other; punctuation around a word doesn't count."""
-    claim("codes")
-    if len(_CODES) > 400_000:
-        _CODES.clear()
-    for w in set(ws).difference(_CODES):
-        _CODES[w] = hashlib.blake2b(w.strip(EDGES), digest_size=CODE).digest()
-    return b"".join(map(_CODES.__getitem__, ws))
-
-
-def _params():
-    import zstandard as z
-
-    return z.ZstdCompressionParameters.from_level(LEVEL, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+def windows(text: str | None, step: int = STEP) -> list[bytes]:
+    """Windows of ``WORDS`` words, one every ``step`` words; a text of fewer words has one, a text without words none."""
+    ws = words(text)
+    if ws and max(map(len, ws)) > LONGEST:
+        ws = [w[a : a + LONGEST] for w in ws for a in range(0, len(w), LONGEST)]
+    return [b" " + b" ".join(ws[a : a + WORDS]) + b" " for a in range(0, max(len(ws) - WORDS + step, min(1, len(ws))), step)]
 
 
 def _compressor(raw: bytes):
+    """Compresses a window with the dictionary ``raw``; nothing but the blocks themselves is written."""
     import zstandard as z
 
+    log = max(10, (len(raw) + 4096).bit_length())
+    params = z.ZstdCompressionParameters(
+        window_log=log, chain_log=log, hash_log=log + 1, search_log=6, min_match=3, target_length=64, strategy=z.STRATEGY_LAZY2,
+        format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
+    )
+    if len(raw) < 8:
+        return z.ZstdCompressor(compression_params=params).compress
     known = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-    known.precompute_compress(compression_params=_params())
-    return z.ZstdCompressor(dict_data=known, compression_params=_params()).compress
+    known.precompute_compress(compression_params=params)
+    return z.ZstdCompressor(dict_data=known, compression_params=params).compress
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
-    """A dictionary that zstandard trains; the samples' own bytes where they are too few to train on."""
+    """A dictionary that zstandard trains; the samples' own last bytes where they are too few to train on."""
     import zstandard as z
 
     try:
-        return z.train_dictionary(size, samples, k=8 * CODE, d=8).as_bytes()
+        return z.train_dictionary(size, samples, k=24, d=6).as_bytes()
     except z.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
+class Telling:
+    """Which parts of a dictionary shorten windows of toxic documents more than those of ordinary ones, beside the ordinary dictionary's end.
+
+    Documents count, not windows, so that one that repeats itself has one vote. ``least``: bytes that a shorter window must save.
+    """
+
+    def __init__(self, near: bytes, toxic: list[list[bytes]], ordinary: list[list[bytes]], least: int):
+        self.near, self.least = near, least
+        plain = _compressor(near)
+        self.sides = [[(i, w, len(plain(w))) for i, ws in enumerate(docs) for w in ws] for docs in (toxic, ordinary)]
+        self.sizes = [max(1, len(docs)) for docs in (toxic, ordinary)]
+
+    def hits(self, raw: bytes, before: bool, sides: list | None = None) -> list[list]:
+        """Of both sides, the windows that ``raw`` shortens, before or after the ordinary dictionary's end."""
+        made = _compressor(raw + self.near if before else self.near + raw)
+        return [[x for x in side if x[2] - len(made(x[1])) >= self.least] for side in (sides or self.sides)]
+
+    def share(self, hits: list[list], apart: float) -> bool:
+        toxic, ordinary = (len({i for i, _, _ in side}) for side in hits)
+        return toxic >= 3 and toxic / self.sizes[0] > apart * (ordinary + 1) / self.sizes[1]
+
+
+def _parts(raw: bytes, telling: Telling, apart: float = 4) -> list[bytes]:
+    """The parts of a trained dictionary that tell toxic text, each with a few bytes of what lies beside it."""
+    some = telling.hits(raw, True)
+    cut = [raw[max(0, a - 8) : a + PART + 8] for a in range(0, len(raw), PART)]
+    return [x for x in cut if telling.share(telling.hits(x, True, some), apart)]
+
+
+def _pieces(part: bytes, telling: Telling, some: list[list], apart: float = 6) -> bytes:
+    """What is left of a part when pieces of it that do not tell toxic text by themselves are gone."""
+    own = telling.hits(part, False, some)
+    keep = bytearray(len(part))
+    for a in range(0, len(part) - PIECE + 1, 4):
+        if telling.share(telling.hits(part[a : a + PIECE], False, own), apart):
+            keep[a : a + PIECE] = b"\1" * PIECE
+    return bytes(c for c, k in zip(part, keep, strict=True) if k)
+
+
 @dataclass
 class Model:
-    """Two dictionaries, and the probability of toxic text from each of ascending distances on."""
+    """Two dictionaries, the log odds of distances from ``LOW`` to ``HIGH``, and the probability of toxic text from each of ascending evidences on."""
 
     toxic: bytes = b""
     ordinary: bytes = b""
-    steps: list[tuple[int, float]] = field(default_factory=list)
+    odds: list[float] = field(default_factory=list)
+    steps: list[tuple[float, float]] = field(default_factory=list)
 
     def __post_init__(self):
         self._pair = None
 
-    def distance(self, ws: list[bytes]) -> int:
-        """The largest distance of any window of ``WINDOW`` words, 0 without words."""
+    def distances(self, text: str | None) -> list[int]:
+        """The distance of each window of a text."""
         if self._pair is None:
-            self._pair = _compressor(self.toxic + self.ordinary), _compressor(self.ordinary)
-        toxic, ordinary = self._pair
-        text, step = coded(ws), CODE * WINDOW
-        return max((len(ordinary(x)) - len(toxic(x)) for x in (text[a : a + step] for a in range(0, len(text), step))), default=0)
-
-    def probability(self, distance: int) -> float:
-        at = bisect_right([d for d, _ in self.steps], distance)
+            self._pair = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
+        ordinary, both = self._pair
+        return [len(ordinary(w)) - len(both(w)) for w in windows(text)]
+
+    def evidence(self, distances: list[int]) -> float:
+        """The windows' log odds by the root of their number; 0 without windows."""
+        if not distances or not self.odds:
+            return 0.0
+        return sum(n * self.odds[min(max(d, LOW), HIGH) - LOW] for d, n in Counter(distances).items()) / math.sqrt(len(distances))
+
+    def probability(self, evidence: float) -> float:
+        at = bisect_right([e for e, _ in self.steps], evidence)
         return self.steps[max(at, 1) - 1][1] if self.steps else 0.0
 
 
-def _steps(points: list[tuple[int, int]]) -> list[tuple[int, float]]:
-    """Isotonic regression of the label on the distance: blocks of rising means, each shrunk by half a row of either class."""
-    by: dict[int, list[int]] = {}
+def log_odds(toxic: Counter, ordinary: Counter) -> list[float]:
+    """Log odds of each clipped distance, with half a window added to each; never falling above 0, as saving more can't speak for ordinary text."""
+    n1, n0 = sum(toxic.values()) + 1, sum(ordinary.values()) + 1
+    out = [math.log((toxic[d] + 0.5) / n1) - math.log((ordinary[d] + 0.5) / n0) for d in range(LOW, HIGH + 1)]
+    for k in range(1 - LOW, len(out)):
+        out[k] = max(out[k], out[k - 1])
+    return out
+
+
+def _steps(points: list[tuple[float, int]]) -> list[tuple[float, float]]:
+    """Isotonic regression of the label on the evidence: blocks of rising means, each shrunk by half a row of either class."""
+    by: dict[float, list[int]] = {}
     for d, y in points:
         s = by.setdefault(d, [0, 0])
         s[0] += y
@@ -102,57 +159,58 @@ def _steps(points: list[tuple[int, int]]) -> list[tuple[int, float]]:
             last = done.pop()
             done[-1][1] += last[1]
             done[-1][2] += last[2]
-    return [(int(d), (y + 0.5) / (n + 1)) for d, y, n in done]
+    return [(float(d), (y + 0.5) / (n + 1)) for d, y, n in done]
 
 
-def fit_texts(rows: list[tuple[str | None, int]], calibrate: int = 3000, seed: int = 7) -> Model:
-    """Fits a model to (text, toxic) rows.
+def fit_texts(rows: list[tuple[str | None, int]], judged: int = 1200, each: int = 80, seed: int = 7) -> Model:
+    """Fits a model to (text, toxic) rows; a null text is empty.
 
-    A word marks toxic text off if its share of the toxic texts is more than 50 times that of the ordinary ones, and
-    it follows so many different words there that chance can't explain it: a passage that toxic documents copy from each other has one word before each.
-    Without rows of both classes, every text gets the share of toxic rows (0 without rows).
+    Each half of the toxic documents gives a dictionary whose parts the other half judges, so that a passage that one document
+    repeats isn't learned. ``judged`` documents of either class, with ``each`` windows each at most, judge the parts; the dictionaries, log odds and
+    probabilities are of all rows. Without rows of both classes, every text gets the share of toxic rows (0 without rows).
     """
-    cut = [([w.strip(EDGES) for w in words(x)], int(y)) for x, y in rows]
-    n1 = sum(y for _, y in cut)
-    n0 = len(cut) - n1
-    if not n1 or not n0:
-        return Model(steps=[(0, n1 / max(1, len(cut)))])
-    in1, in0 = Counter(), Counter()
-    for ws, y in cut:
-        (in1 if y else in0).update(set(ws))
-    apart = {w for w, k in in1.items() if w and k * n0 > 50 * n1 * in0[w]}
-    before = defaultdict(set)
-    for ws, y in cut:
-        if y:
-            for a, b in zip([b"", *ws], ws):
-                if b in apart:
-                    before[b].add(a)
-    # so many that no word of the vocabulary is expected to fall into toxic texts alone by chance
-    enough = math.log(100 * (len(in1) + 1)) / math.log((n0 + n1) / n1)
-    marks = {w for w, x in before.items() if len(x) >= min(enough, n1 / 2)}
-    rng, toxic, ordinary = random.Random(seed), [], []
-    keep = min(1.0, 20_000 * 8 / max(1, sum(len(ws) for ws, y in cut if not y)))
-    for ws, y in cut:
-        picked = [w for w in ws if w in marks] if y else ws
-        for a in range(0, len(picked), 8):
-            if y or rng.random() < keep:
-                (toxic if y else ordinary).append(coded(picked[a : a + 8]))
-    model = Model(_trained(toxic, DICT_BYTES // 2), _trained(ordinary, DICT_BYTES // 2))
-    few = []
-    for y, most in ((0, calibrate - calibrate // 4), (1, calibrate // 4)):  # toxic text is the rarer
-        own = [i for i, x in enumerate(cut) if x[1] == y]
-        few += rng.sample(own, min(len(own), most))
-    model.steps = _steps([(model.distance(cut[i][0]), cut[i][1]) for i in few])
+    n1 = sum(int(y) for _, y in rows)
+    if not n1 or n1 == len(rows):
+        return Model(steps=[(0.0, n1 / max(1, len(rows)))])
+    rng = random.Random(seed)
+    toxic, ordinary = ([windows(x, WORDS) for x, y in rows if int(y) == side] for side in (1, 0))
+    rng.shuffle(toxic)
+    rng.shuffle(ordinary)
+    flat = [w for ws in ordinary for w in ws]
+    rng.shuffle(flat)
+    known = _trained(flat, ORDINARY_BYTES)
+    near, few = known[-NEAR_BYTES:], [ws[:each] for ws in ordinary]
+    parts, whole = [], b""
+    for half in (0, 1):
+        raw = _trained([w for ws in toxic[half::2] for w in ws], TOXIC_BYTES)
+        whole += raw
+        judges = [ws[:each] for ws in toxic[1 - half :: 2][:judged]], few[half * judged : (half + 1) * judged] or few[:judged]
+        # what the whole ordinary dictionary explains needs no toxic one
+        plain, both = _compressor(known), _compressor(raw + known)
+        apart = [[[w for w in ws if len(both(w)) < len(plain(w))] for ws in side] for side in judges]
+        parts += _parts(raw, Telling(near, *apart, least=2))
+    kept = b""
+    if parts:
+        telling = Telling(near, [ws[:each] for ws in toxic[:judged]], few[:judged], least=3)
+        some = telling.hits(b"".join(parts), False)
+        kept = b"".join(_pieces(p, telling, some) for p in parts)
+    model = Model(kept or b"".join(parts) or whole[-TOXIC_BYTES:], known)
+    found = [(model.distances(x), int(y)) for x, y in rows]
+    counts = [Counter(), Counter()]
+    for d, y in found:
+        counts[y].update(min(max(x, LOW), HIGH) for x in d)
+    model.odds = log_odds(counts[1], counts[0])
+    model.steps = _steps([(model.evidence(d), y) for d, y in found])
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 4000) -> Model:
     """Fits on about ``sample`` labelled rows of either class at most, picked by a hash of their id, in one task.
 
-    ``usable``: a condition on ``id_col``; other rows are not looked at. Of several labels of a document, the highest counts; null ones don't.
+    ``usable``: a condition on ``id_col``; other rows are not looked at. Of several labels of a document, the highest counts; null ones
+    don't, nor do null ids. Rows that share an id are rows of their own with one label. Other columns of either table are not read, whatever
+    their names; empty tables give a model that scores 0.
     """
-    from crosswalk.llm.common import written
-
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null").where(usable)
     known = known.groupBy("doc_id").agg(F.max((F.col("y") > 0).cast("int")).alias("y"))
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -163,30 +221,36 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     rows = written(texts.join(F.broadcast(picked), "doc_id"), "toxic-sample")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        claim("toxic")
         pdf = pdf.sort_values(["doc_id", "text"])
         m = fit_texts(list(zip(pdf["text"], pdf["y"], strict=True)))
-        return pd.DataFrame({"toxic": [m.toxic], "ordinary": [m.ordinary], "steps": [[{"d": d, "p": p} for d, p in m.steps]]})
+        return pd.DataFrame({"toxic": [m.toxic], "ordinary": [m.ordinary], "odds": [m.odds], "steps": [[{"e": e, "p": p} for e, p in m.steps]]})
 
-    got = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "toxic binary, ordinary binary, steps array<struct<d int, p double>>").collect()
-    return Model(bytes(got[0]["toxic"]), bytes(got[0]["ordinary"]), [(x["d"], x["p"]) for x in got[0]["steps"]]) if got else Model()
+    got = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "toxic binary, ordinary binary, odds array<double>, steps array<struct<e double, p double>>").collect()
+    return Model(bytes(got[0]["toxic"]), bytes(got[0]["ordinary"]), list(got[0]["odds"]), [(x["e"], x["p"]) for x in got[0]["steps"]]) if got else Model()
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """doc_id, distance, score and predicted (1 from a score of 0.5 on) of every row; null and empty texts have distance 0.
+    """doc_id, distance (the largest of a window, in bytes), score and predicted (1 from a score of 0.5 on) of every row.
 
-    ``carry``: return each row of ``docs`` too, as the struct row. Repeated and null ids keep their rows.
+    Null and empty texts have distance 0 and the score of no evidence. ``carry``: return each row of ``docs`` too, as the struct row, whatever
+    its columns' names. Repeated and null ids keep their rows; an empty table gives none.
     """
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-    raw = (model.toxic, model.ordinary, model.steps)
+    raw = (model.toxic, model.ordinary, model.odds, model.steps)
     cols, text = with_row(docs, id_col, text_col, carry)
     schema = StructType([f for f in cols.schema.fields if f.name != "__text"]).add("distance", IntegerType()).add("score", DoubleType()).add("predicted", IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxic")
         m = Model(*raw)
         for batch in blocks(batches, text):
-            d = [m.distance(words(x)) for x in column(batch, text).to_pylist()]
-            p = [m.probability(x) for x in d]
+            d, p = [], []
+            for x in column(batch, text).to_pylist():
+                own = m.distances(x)
+                d.append(max(own, default=0))
+                p.append(m.probability(m.evidence(own)))
             rest = batch if carry else batch.drop_columns(["__text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(d, pa.int32()), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32())], names=[*rest.schema.names, "distance", "score", "predicted"])
 
