@@ -27,8 +27,8 @@ from crosswalk.llm.common import blocks, claim, column, with_row, words, written
 #: words of a window, words from one to the next, and bytes from which a word is cut
 WORDS, STEP, LONGEST = 8, 4, 64
 ORDINARY_BYTES, TOXIC_BYTES, NEAR_BYTES = 1 << 18, 1 << 14, 1 << 15
-#: bytes of a part of the toxic dictionary, and of the pieces that parts are cut to
-PART, PIECE = 64, 16
+#: bytes of a part of the toxic dictionary, of the pieces that parts are cut to, from one piece to the next, and the votes that keep a byte
+PART, PIECE, MOVE, VOTES = 64, 16, 2, 4
 #: distances are clipped to these for their log odds
 LOW, HIGH = -3, 15
 
@@ -97,13 +97,14 @@ def _parts(raw: bytes, telling: Telling, apart: float = 4) -> list[bytes]:
 
 
 def _pieces(part: bytes, telling: Telling, some: list[list], apart: float = 6) -> bytes:
-    """What is left of a part when pieces of it that do not tell toxic text by themselves are gone."""
+    """What is left of a part: the bytes that ``VOTES`` at least of the pieces which hold them need to tell toxic text by themselves."""
     own = telling.hits(part, False, some)
-    keep = bytearray(len(part))
-    for a in range(0, len(part) - PIECE + 1, 4):
+    votes = [0] * len(part)
+    for a in range(0, len(part) - PIECE + 1, MOVE):
         if telling.share(telling.hits(part[a : a + PIECE], False, own), apart):
-            keep[a : a + PIECE] = b"\1" * PIECE
-    return bytes(c for c, k in zip(part, keep, strict=True) if k)
+            for k in range(a, a + PIECE):
+                votes[k] += 1
+    return bytes(c for c, n in zip(part, votes, strict=True) if n >= VOTES)
 
 
 @dataclass
