@@ -314,7 +314,8 @@ def _unique(page: list[list[str]], hit: np.ndarray) -> str:
 
 
 def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What a block's pages hold so often that the host's may: runs (kind 0) and sequences of first and last blocks (kind 1)."""
+    """What a block's pages hold so often that the host's may: runs that may go from articles (kind 0) or from pages without one (2), and
+    sequences of first and last blocks (1). Kind 3 says that the block has pages without an article."""
     pages, article = [_split(w) for w in pdf["words"]], pdf["article"].tolist()
     found, flat_pages = set(), [[w for b in p for w in b] for p in pages]
     if any(flat_pages):
@@ -327,9 +328,11 @@ def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
                 seen.add(run)
                 k = int(page[i])
                 if len(some := flat_pages[k][i - int(starts[k]) :][:DEPTH]) == DEPTH:
-                    found.add((0, int(runs(some)[0])))
+                    found.add((0 if n_pages[i] >= INSIDE[0] * len(pages) - 1e-6 else 2, int(runs(some)[0])))
     often = Counter(h for p, a in zip(pages, article, strict=True) if a for h in {e[1] for e in page_edges(p)})
     found |= {(1, h) for h, n in often.items() if n >= EDGE[0] * len(pages) - 1e-6}
+    if not all(article):
+        found.add((3, 0))
     host = pdf["host"].iloc[0]
     rows = sorted(found)
     return pd.DataFrame({"host": pd.Series([host] * len(rows), dtype=object), "kind": [k for k, _ in rows], "hash": np.array([h for _, h in rows], np.uint64).view(np.int64)})
@@ -380,6 +383,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     mine = rows.join(near, "host").select(*rows.columns, "n", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("parts")).alias("part"))
     block = parsed(mine.drop("n"), ", part long").repartition("host", "part").groupBy("host", "part")
     named = written(block.applyInPandas(_candidates, "host string, kind int, hash long").distinct(), "page-candidates")
+    bare = named.where("kind = 3").select("host")
+    named = written(named.where("kind < 2").unionByName(named.where("kind = 2").join(bare, "host", "left_semi").withColumn("kind", F.lit(0))).distinct(), "page-candidates")
 
     def listed(found: DataFrame, *kinds: tuple[str, object]) -> DataFrame:
         """One row a host with a list of each kind; sent to every task only if the hashes are few. A host has ten times the runs of a page at most."""

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from crosswalk.llm.common import blocks, claim, column, with_row, words, written
 
 #: words of a window, words from one to the next, and bytes from which a word is cut
-WORDS, STEP, LONGEST = 8, 4, 64
+WORDS, STEP, LONGEST = 8, 5, 64
 ORDINARY_BYTES, TOXIC_BYTES, NEAR_BYTES = 1 << 18, 1 << 14, 1 << 15
 #: bytes of a part of the toxic dictionary, of the pieces that parts are cut to, from one piece to the next, and the votes that keep a byte
 PART, PIECE, MOVE, VOTES = 64, 16, 2, 4
@@ -127,9 +127,9 @@ class Model:
         return [len(ordinary(w)) - len(both(w)) for w in windows(text)]
 
     def evidence(self, distances: list[int]) -> float:
-        """The windows' log odds by the root of their number; 0 without windows."""
+        """The windows' log odds by the root of their number; without windows less than any other, as no words are no toxic ones."""
         if not distances or not self.odds:
-            return 0.0
+            return -math.inf
         return sum(n * self.odds[min(max(d, LOW), HIGH) - LOW] for d, n in Counter(distances).items()) / math.sqrt(len(distances))
 
     def probability(self, evidence: float) -> float:
@@ -163,7 +163,7 @@ def _steps(points: list[tuple[float, int]]) -> list[tuple[float, float]]:
     return [(float(d), (y + 0.5) / (n + 1)) for d, y, n in done]
 
 
-def fit_texts(rows: list[tuple[str | None, int]], judged: int = 1200, each: int = 80, seed: int = 7) -> Model:
+def fit_texts(rows: list[tuple[str | None, int]], judged: int = 700, each: int = 80, seed: int = 7) -> Model:
     """Fits a model to (text, toxic) rows; a null text is empty.
 
     Each half of the toxic documents gives a dictionary whose parts the other half judges, so that a passage that one document
@@ -174,13 +174,15 @@ def fit_texts(rows: list[tuple[str | None, int]], judged: int = 1200, each: int
     if not n1 or n1 == len(rows):
         return Model(steps=[(0.0, n1 / max(1, len(rows)))])
     rng = random.Random(seed)
+    rows = rng.sample(rows, len(rows))
     toxic, ordinary = ([windows(x, WORDS) for x, y in rows if int(y) == side] for side in (1, 0))
-    rng.shuffle(toxic)
-    rng.shuffle(ordinary)
     flat = [w for ws in ordinary for w in ws]
     rng.shuffle(flat)
-    known = _trained(flat, ORDINARY_BYTES)
-    near, few = known[-NEAR_BYTES:], [ws[:each] for ws in ordinary]
+    known, told, times = _trained(flat, ORDINARY_BYTES), 0, 1
+    if len(known) < ORDINARY_BYTES and len(ordinary) > 1:  # too little text to train as much on: raw windows of every other document fill it up, and only the rest is judged by
+        told, times = len(ordinary) // 2, 2
+        known = b"".join(w for ws in ordinary[:told] for w in ws)[-(ORDINARY_BYTES - len(known)) :] + known
+    near, few = known[-NEAR_BYTES:], [ws[:each] for ws in ordinary[told:]]
     parts, whole = [], b""
     for half in (0, 1):
         raw = _trained([w for ws in toxic[half::2] for w in ws], TOXIC_BYTES)
@@ -196,12 +198,11 @@ def fit_texts(rows: list[tuple[str | None, int]], judged: int = 1200, each: int
         some = telling.hits(b"".join(parts), False)
         kept = b"".join(_pieces(p, telling, some) for p in parts)
     model = Model(kept or b"".join(parts) or whole[-TOXIC_BYTES:], known)
-    found = [(model.distances(x), int(y)) for x, y in rows]
-    counts = [Counter(), Counter()]
-    for d, y in found:
-        counts[y].update(min(max(x, LOW), HIGH) for x in d)
-    model.odds = log_odds(counts[1], counts[0])
-    model.steps = _steps([(model.evidence(d), y) for d, y in found])
+    judged_by = [x for x, y in rows if int(y)], [x for x, y in rows if not int(y)][told:]
+    found = [[model.distances(x) for x in side] for side in judged_by]
+    counts = [Counter(min(max(v, LOW), HIGH) for d in side for v in d) for side in found]
+    model.odds = log_odds(*counts)
+    model.steps = _steps([(model.evidence(d), 1) for d in found[0]] + [(model.evidence(d), 0) for d in found[1] for _ in range(times)])
     return model
 
 
@@ -234,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, distance (the largest of a window, in bytes), score and predicted (1 from a score of 0.5 on) of every row.
 
-    Null and empty texts have distance 0 and the score of no evidence. ``carry``: return each row of ``docs`` too, as the struct row, whatever
+    Null and empty texts, and those without words, have distance 0 and the lowest score. ``carry``: return each row of ``docs`` too, as the struct row, whatever
     its columns' names. Repeated and null ids keep their rows; an empty table gives none.
     """
     from pyspark.sql.types import DoubleType, IntegerType, StructType

@@ -49,20 +49,20 @@ def test_distances_and_calibration_against_plain_versions():
 
     for _, x, _ in rows[:12]:
         assert m.distances(x) == [length(w, m.ordinary) - length(w, m.toxic + m.ordinary) for w in toxicity.windows(x)]
-    found = [(m.distances(x), y) for _, x, y in rows]
-    counts = {s: collections.Counter(min(max(v, toxicity.LOW), toxicity.HIGH) for d, y in found if y == s for v in d) for s in (0, 1)}
-    for k, v in enumerate(range(toxicity.LOW, 1)):
-        assert m.odds[k] == pytest.approx(math.log((counts[1][v] + 0.5) / (sum(counts[1].values()) + 1)) - math.log((counts[0][v] + 0.5) / (sum(counts[0].values()) + 1)))
-    assert all(a <= b for a, b in zip(m.odds[1 - toxicity.LOW :], m.odds[2 - toxicity.LOW :]))
-    points = sorted((m.evidence(d), y) for d, y in found)
-    e, y = np.array([p[0] for p in points]), np.array([p[1] for p in points], float)
-    # isotonic regression as the largest of the least means over intervals; steps are these, shrunk by half a row of either class
+    rng = random.Random(1)
+    counts = [collections.Counter(rng.randrange(toxicity.LOW, toxicity.HIGH) // (2 - y) for _ in range(500)) for y in (1, 0)]
+    odds = toxicity.log_odds(*counts)
+    plain = [math.log((counts[0][v] + 0.5) / (sum(counts[0].values()) + 1)) - math.log((counts[1][v] + 0.5) / (sum(counts[1].values()) + 1)) for v in range(toxicity.LOW, toxicity.HIGH + 1)]
+    assert odds[: 1 - toxicity.LOW] == pytest.approx(plain[: 1 - toxicity.LOW])
+    assert odds[1 - toxicity.LOW :] == pytest.approx([max(plain[-toxicity.LOW : k + 1]) for k in range(1 - toxicity.LOW, len(plain))])
+    points = sorted((rng.randrange(30) / 4, int(rng.random() < 0.1 + 0.03 * k)) for k in range(25) for _ in range(6))
+    model, e, y = toxicity.Model(steps=toxicity._steps(points)), np.array([p[0] for p in points]), np.array([p[1] for p in points], float)
     at = np.unique(e)
-    means = [max(min(y[(e >= a) & (e <= b)].mean() for b in at[at >= x]) for a in at[at <= x]) for x in at[:: max(1, len(at) // 25)]]
-    for x, want in zip(at[:: max(1, len(at) // 25)], means):
-        p = m.probability(x)
-        same = [i for i, q in enumerate(e) if m.probability(q) == p]
-        assert y[same].mean() == pytest.approx(want) and p == pytest.approx((y[same].sum() + 0.5) / (len(same) + 1))
+    for x in at:  # isotonic regression is the largest of the least means over intervals; its blocks are shrunk by half a row of either class
+        want = max(min(y[(e >= a) & (e <= b)].mean() for b in at[at >= x]) for a in at[at <= x])
+        same = [i for i, q in enumerate(e) if model.probability(q) == model.probability(x)]
+        assert y[same].mean() == pytest.approx(want) and model.probability(x) == pytest.approx((y[same].sum() + 0.5) / (len(same) + 1))
+    assert m.evidence([]) == -math.inf and m.evidence([0, 0, 99]) == pytest.approx((2 * m.odds[-toxicity.LOW] + m.odds[-1]) / math.sqrt(3))
 
 
 def test_letters_decide_not_a_list_of_words():
