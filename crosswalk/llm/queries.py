@@ -21,7 +21,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = katz.scores(table(spark, sf_dir, "documents"), train_rows("doc_id", 7, 2))
+    rows = katz.scores(table(spark, sf_dir, "documents"), train_rows("doc_id", 7, 2), order=3)
     return rows.select("doc_id", (~F.col("trained_on")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
