@@ -17,15 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+#: the folder of a local session that names none
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the cluster's ``spark.checkpoint.dir``; a folder of this session's own only where that is unset."""
+    """A new folder name, with its scheme, below the cluster's ``spark.checkpoint.dir``. Where that is unset, a folder of this session's own in local mode, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="crosswalk-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="crosswalk-"))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base.rstrip("/"))
+    base = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
     return path
 
@@ -54,38 +59,38 @@ def _discard_all() -> None:
             return
 
 
-def _local(path: str) -> str | None:
+def _store(path: str):
+    """File system and path of a qualified name. ``s3a`` and ``s3n`` are what Spark calls ``s3``."""
+    from pyarrow import fs
+
     u = urlparse(path)
-    return (u.path if u.scheme == "file" else path) if u.scheme in ("", "file") else None
+    if u.scheme in ("", "file"):
+        return None, u.path
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
 
 
 def write_file(path: str, data: bytes) -> None:
     """Writes a whole file to shared storage so that a task run twice leaves one complete copy."""
-    if local := _local(path):
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        part = f"{local}.{uuid.uuid4().hex}"
+    store, at = _store(path)
+    part = f"{at}.{uuid.uuid4().hex}"
+    if store is None:
+        os.makedirs(os.path.dirname(at), exist_ok=True)
         with open(part, "wb") as f:
             f.write(data)
-        os.replace(part, local)
+        os.replace(part, at)
         return
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(path)
     store.create_dir(os.path.dirname(at), recursive=True)
-    with store.open_output_stream(part := f"{at}.{uuid.uuid4().hex}") as f:
+    with store.open_output_stream(part) as f:
         f.write(data)
     store.move(part, at)
 
 
-def read_file(path: str) -> bytes:
-    if local := _local(path):
-        with open(local, "rb") as f:
-            return f.read()
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(at) as f:
-        return f.read()
+def read_file(path: str, start: int = 0, length: int | None = None) -> bytes:
+    """A file, or ``length`` bytes of it from ``start`` on, of which nothing else is read."""
+    store, at = _store(path)
+    with open(at, "rb") if store is None else store.open_input_file(at) as f:
+        f.seek(start)
+        return f.read() if length is None else f.read(length)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -198,23 +203,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_bounds(df: DataFrame, col: str, parts: int) -> list[int]:
-    """Ascending values of a numeric id that cut its rows into about ``parts`` even ranges; the list is as long as that at most."""
-    if parts < 2:
-        return []
-    at = [i / parts for i in range(1, parts)]
-    got = df.agg(F.percentile_approx(F.col(col), at, max(1000, 20 * parts)).alias("q")).first()["q"] or []
-    return sorted(set(got))
+def range_starts(df: DataFrame, order, parts: int) -> DataFrame:
+    """One row with the ascending array starts: the least value of ``order`` in each of about ``parts`` even ranges.
+
+    Only that column is dealt to ranges, and a value of each range comes back as data: a row a range, whatever the size of the table.
+    """
+    dealt = df.select(order.alias("o")).repartitionByRange(parts, "o")
+    return dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min("o").alias("o")).agg(F.sort_array(F.collect_list("o")).alias("starts"))
 
 
-def bucket_of(col, bounds: list[int]):
-    """Column: how many of the ascending bounds are not above the value, by binary search; 0 for a null."""
-    n = len(bounds)
-    if not n:
-        return F.lit(0)
-    at = F.array(*[F.lit(b) for b in bounds])
-    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= n) & (F.element_at(at, F.least(p + s, F.lit(n))) <= col), p + s).otherwise(p))
+def range_of(starts, value):
+    """Column: the range, from 0, that ``value`` lies in, by binary search of the ascending array ``starts``."""
+    steps = F.transform(F.reverse(F.sequence(F.lit(0), F.ceil(F.log2(F.size(starts) + 1)).cast("int"))), lambda k: F.pow(F.lit(2), k).cast("int"))
+    at = F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= F.size(starts)) & (F.get(starts, p + s - 1) <= value), p + s).otherwise(p))
+    return F.greatest(at - 1, F.lit(0))
 
 
 def parts_for(df: DataFrame, rows_each: int = 6000, n: int | None = None) -> int:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosswalk.llm.common import bucket_of, id_bounds, parts_for
+from crosswalk.llm.common import parts_for, range_of, range_starts
 
 #: words in a shingle; one in SCALE hashes is kept
 SIZE, SCALE = 5, 4
@@ -79,31 +79,36 @@ def contained(a: Column, b: Column, scale: int = SCALE, least: int = 0) -> Colum
 
 
 def as_string(a: Column) -> Column:
-    """A sketch as text: its hashes, as ten hexadecimal digits each, in base 64."""
-    low = F.transform(a, lambda h: F.lpad(F.lower(F.hex(F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 22))), 10, "0"))
-    return F.regexp_replace(F.base64(F.unhex(F.array_join(low, ""))), r"\s", "")
+    """A sketch as text: its hashes, with all their 64 bits, in base 64."""
+    return F.regexp_replace(F.base64(F.unhex(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), ""))), r"\s", "")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_each: int = 3000, before=None) -> DataFrame:
     """doc_id and text of every row, and each further column made by ``before`` from them, each with the next row's (next_...).
 
-    Rows follow each other by ascending id, null ids at the end, equal ids by text; the first row follows the last. Rows are dealt to id
-    ranges, and the first row of a range goes to the range before it too, so no task sees more than a range and texts move once.
+    Rows follow each other by ascending id, null ids at the end, equal ids by their text's first 32 characters, then by a hash of it; the first row
+    follows the last. Rows are dealt to even ranges of that order, whose starts are a column, and the first row of a range goes to the range before it too,
+    so no task sees more than a range, one id may fill many of them and texts move once. Rows alike in id and text lie in one range.
+    Other columns are not read; an empty table gives none.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LONGEST)))
-    n, first = rows.agg(F.count("*"), F.min("__key")).first()
-    bounds = [b for b in id_bounds(rows, "__key", parts_for(rows, rows_each, n)) if b > (first or 0)] if n else []
-    own = bucket_of(F.col("__key"), bounds)
-    ahead = F.when(F.col("__key").isin(bounds), F.array(F.struct((own - 1).alias("b"), F.lit(1).alias("g")))) if bounds else F.lit(None).cast("array<struct<b:int,g:int>>")
-    round_ = F.when(F.col("__key") == F.lit(first), F.array(F.struct(F.lit(len(bounds)).alias("b"), F.lit(2).alias("g"))))
+    order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LONGEST)).alias("key"), F.substring("text", 1, 32).alias("begin"), F.xxhash64("text").alias("hash"))
+    parts = parts_for(rows, rows_each)
+    starts = range_starts(rows, order, parts).withColumn("__one", F.lit(1))
+    # a single row: the starts of as many ranges as there are tasks
+    rows = rows.withColumns({"__order": order, "__one": F.lit(1)}).join(F.broadcast(starts), "__one")
+    rows = rows.withColumn("__own", range_of(F.col("starts"), F.col("__order")))
+    here = F.array(F.struct(F.col("__own").alias("b"), F.lit(0).alias("g")))
+    first = F.get("starts", F.col("__own")) == F.col("__order")
+    ahead = F.when(first & (F.col("__own") > 0), F.array(F.struct((F.col("__own") - 1).alias("b"), F.lit(1).alias("g"))))
+    round_ = F.when(first & (F.col("__own") == 0), F.array(F.struct((F.size("starts") - 1).alias("b"), F.lit(2).alias("g"))))
     none = F.array().cast("array<struct<b:int,g:int>>")
-    places = F.concat(F.array(F.struct(own.alias("b"), F.lit(0).alias("g"))), F.coalesce(ahead, none), F.coalesce(round_, none))
-    dealt = rows.withColumn("__place", F.explode(places)).select("doc_id", "text", "__key", F.col("__place.b").alias("__b"), F.col("__place.g").alias("__g")).repartition(len(bounds) + 1, "__b")
+    places = F.concat(here, F.coalesce(ahead, round_, none))
+    dealt = rows.withColumn("__place", F.explode(places)).select("doc_id", "text", "__order", F.col("__place.b").alias("__b"), F.col("__place.g").alias("__g")).repartition(parts, "__b")
     made = dealt.withColumns(before(F.col("text"))) if before else dealt
     from pyspark.sql import Window
 
-    w = Window.partitionBy("__b").orderBy("__g", "__key", "text")
+    w = Window.partitionBy("__b").orderBy("__g", "__order")
     kept = [c for c in made.columns if not c.startswith("__")]
     return made.select(*kept, "__g", *[F.lead(c).over(w).alias(f"next_{c}") for c in kept if c != "doc_id"]).where("__g = 0").drop("__g")
 

@@ -12,11 +12,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswalk.llm.common import blocks, bucket_of, encoder, id_bounds, parts_for, read_file, shared_dir, write_file, written
+from crosswalk.llm.common import blocks, encoder, parts_for, read_file, shared_dir, write_file, written
 
 MAGIC = b"MPHIDX01"
 NULL_KEY = np.uint64(0x5BD1E9955BD1E995)
@@ -94,6 +96,12 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (mix(keys, 77) >> np.uint64(32)).astype(np.uint32)
 
 
+def pack_arrays(arrays: dict[str, np.ndarray], **head) -> bytes:
+    """Arrays one after the other, behind a head that says where each begins."""
+    named = json.dumps(head | {"arrays": [[k, a.dtype.str, len(a)] for k, a in arrays.items()]}).encode()
+    return MAGIC + len(named).to_bytes(4, "little") + named + b"".join(a.tobytes() for a in arrays.values())
+
+
 def pack_index(doc_ids: list[int | None], lengths: list[int], width: int) -> bytes:
     keys = keys_of(doc_ids)
     h = PerfectHash.build(keys)
@@ -103,13 +111,111 @@ def pack_index(doc_ids: list[int | None], lengths: list[int], width: int) -> byt
     prints[at], starts[at], counts[at] = fingerprint(keys), first, np.array(lengths, np.uint32)
     null = np.array([i is None for i in doc_ids], np.uint8)
     ids = np.array([0 if i is None else i for i in doc_ids], np.int64)
-    arrays = {"sizes": h.sizes, "bits": h.bits, "ranks": h.ranks, "prints": prints, "starts": starts, "counts": counts, "ids": ids, "null": null}
-    head = json.dumps({"width": width, "arrays": [[k, a.dtype.str, len(a)] for k, a in arrays.items()]}).encode()
-    return MAGIC + len(head).to_bytes(4, "little") + head + b"".join(a.tobytes() for a in arrays.values())
+    return pack_arrays({"sizes": h.sizes, "bits": h.bits, "ranks": h.ranks, "prints": prints, "starts": starts, "counts": counts, "ids": ids, "null": null}, width=width)
+
+
+class Index:
+    """An index file of which a lookup reads a few numbers each time: the head once, then a bit and a rank for each level tried, and a slot."""
+
+    def __init__(self, path: str):
+        self.path = path
+        head = read_file(path, 0, 12)
+        if head[:8] != MAGIC:
+            raise ValueError("not an index file")
+        n = int.from_bytes(head[8:12], "little")
+        self.head, self.where, at = json.loads(read_file(path, 12, n)), {}, 12 + n
+        for name, kind, size in self.head["arrays"]:
+            self.where[name] = at, np.dtype(kind), size
+            at += size * np.dtype(kind).itemsize
+        self.sizes = self.values("sizes", 0, self.where["sizes"][2])
+
+    def values(self, name: str, first: int, n: int = 1) -> np.ndarray:
+        at, kind, _ = self.where[name]
+        return np.frombuffer(read_file(self.path, at + first * kind.itemsize, n * kind.itemsize), kind)
+
+    def slot(self, key: np.ndarray) -> int | None:
+        """Where the values of a key (an array of one) are; None if its fingerprint isn't the one stored there."""
+        start = 0
+        for level, m in enumerate(self.sizes.tolist()):
+            at = int(mix(key, level)[0] % np.uint64(m)) + start
+            start += m
+            word, bit = self.values("bits", (at >> 6) * 8, 8).view(np.uint64)[0], np.uint64(at & 63)
+            if word >> bit & np.uint64(1):
+                number = int(self.values("ranks", at >> 6)[0]) + int(np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1))))
+                return number if self.values("prints", number)[0] == fingerprint(key)[0] else None
+        return None
+
+
+class Corpus:
+    """Keyed access to all shards: the directory names a document's shard, the shard's index the place of its ids, which alone are read.
+
+    The number of reads doesn't grow with the corpus, a shard or a text's place in it. Of rows that share an id, :meth:`get` finds the first.
+    """
+
+    def __init__(self, folder: str):
+        self.folder, self.open = folder, {}
+        self.parts = int(json.loads(read_file(f"{folder}/directory.json"))["parts"])
+
+    def _index(self, path: str) -> Index:
+        if path not in self.open:
+            self.open[path] = Index(path)
+        return self.open[path]
+
+    def get(self, doc_id: int | None) -> np.ndarray | None:
+        key = keys_of([doc_id])
+        part = self._index(f"{self.folder}/directory-{int(key[0] % np.uint64(self.parts))}.idx")
+        if (k := part.slot(key)) is None:
+            return None
+        path = f"{self.folder}/{int(part.values('bucket', k)[0]):06d}-{int(part.values('seq', k)[0]):06d}"
+        shard = self._index(f"{path}.idx")
+        if (k := shard.slot(key)) is None:
+            return None
+        width = int(shard.head["width"])
+        first, n = int(shard.values("starts", k)[0]), int(shard.values("counts", k)[0])
+        return np.frombuffer(read_file(f"{path}.bin", first * width, n * width), f"<u{width}")
+
+
+def write_directory(shards: DataFrame, rows_each: int = 1_000_000) -> str | None:
+    """Writes, beside the shards of :func:`write_shards`, files that map every document key to its shard, and returns their folder (None without shards).
+
+    A file has about ``rows_each`` keys, dealt by the key, and is made by one task. Repeated and null ids are found at their first occurrence.
+    """
+    n, path = shards.agg(F.sum("n_docs"), F.min("path")).first()
+    if path is None:
+        return None
+    folder, parts = path.rsplit("/", 1)[0], max(1, -(-n // rows_each))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, b, s in zip(*(batch.column(c).to_pylist() for c in ("path", "bucket", "seq")), strict=True):
+                index = Index(f"{path}.idx")
+                size = index.where["ids"][2]
+                ids = [None if z else int(i) for i, z in zip(index.values("ids", 0, size), index.values("null", 0, size), strict=True)]
+                k = keys_of(ids)
+                own = [pa.array((k % np.uint64(parts)).astype(np.int64)), pa.array(k.view(np.int64)), pa.array(np.full(size, b, np.int32)), pa.array(np.full(size, s, np.int32))]
+                yield pa.RecordBatch.from_arrays(own, names=["part", "key", "bucket", "seq"])
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "bucket", "seq"]).drop_duplicates("key")
+        k = pdf["key"].to_numpy(np.int64).view(np.uint64)
+        h = PerfectHash.build(k)
+        at = h(k)
+        arrays = {"sizes": h.sizes, "bits": h.bits, "ranks": h.ranks, "prints": np.zeros(len(k), np.uint32), "bucket": np.zeros(len(k), np.uint32), "seq": np.zeros(len(k), np.uint32)}
+        arrays["prints"][at], arrays["bucket"][at], arrays["seq"][at] = fingerprint(k), pdf["bucket"], pdf["seq"]
+        write_file(f"{folder}/directory-{int(pdf['part'].iloc[0])}.idx", pack_arrays(arrays))
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": [len(k)]})
+
+    named = shards.select("path", "bucket", "seq").mapInArrow(keys, "part long, key long, bucket int, seq int")
+    have = {r["part"] for r in named.groupBy("part").applyInPandas(build, "part long, n long").collect()}
+    none = PerfectHash.build(np.zeros(0, np.uint64))
+    for part in set(range(parts)) - have:  # a part that no key fell into
+        write_file(f"{folder}/directory-{part}.idx", pack_arrays({"sizes": none.sizes, "bits": none.bits, "ranks": none.ranks, "prints": np.zeros(0, np.uint32)}))
+    write_file(f"{folder}/directory.json", json.dumps({"parts": parts}).encode())
+    return folder
 
 
 class Shard:
-    """Keyed access to a shard: ``shard.get(doc_id)`` reads one hash slot and one slice of the payload."""
+    """A whole shard in memory, for looking up all its documents; :class:`Corpus` looks up single ones and reads no more than it needs."""
 
     def __init__(self, index: bytes, payload: bytes):
         if index[:8] != MAGIC:
@@ -143,22 +249,21 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
 
     Returns one row per shard: bucket, seq, path (without ending), n_docs, n_ids, and start, the number of ids in all shards
     before it. A null text has only the end id. Rows with a null id come first; rows that share an id stay together in the
-    order of their text. No row is dropped; an empty table gives no shard. Other columns of ``docs`` are not read.
+    order of their text's first 32 characters, then of a hash of it. No row is dropped; an empty table gives no shard. Other columns of ``docs`` are not read.
 
-    Rows are dealt to id ranges by quantiles of the id column alone, sorted inside them, and streamed: a task holds one
-    shard (``shard_ids`` ids) at most, however many rows a range or a single id has.
+    Rows are dealt to even ranges of ids, and of the texts of one id, sorted inside them, and streamed: a task holds one
+    shard (``shard_ids`` ids) at most, however many rows a range has, and one id may fill many ranges.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = parts_for(rows, rows_each)
-    bounds = id_bounds(rows, "doc_id", parts)
     folder = shared_dir(spark, "shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         width = 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
-        bucket, seq, ids, lengths, held, total = None, 0, [], [], [], 0
+        bucket, seq, ids, lengths, held, total = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush():
             nonlocal seq, ids, lengths, held, total
@@ -172,11 +277,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
 
         for batch in blocks(batches):
             encoded = enc(batch.column("text").to_pylist())
-            for b, i, x in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), encoded, strict=True):
-                if ids and (b != bucket or total >= shard_ids):
+            for i, x in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
+                if ids and total >= shard_ids:
                     yield flush()
-                if b != bucket:
-                    bucket, seq = b, 0
                 ids.append(i)
                 held.append(x + end)
                 lengths.append(len(x) // 4 + 1)
@@ -185,7 +288,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
             yield flush()
 
     schema = pa.schema([("bucket", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    dealt = rows.withColumn("bucket", bucket_of(F.col("doc_id"), bounds)).repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "text")
+    begin = F.substring(F.coalesce("text", F.lit("")), 1, 32)
+    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), begin, F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), begin, F.xxhash64("text"))
     shards = written(dealt.mapInArrow(run, "bucket int, seq int, path string, n_docs long, n_ids long"), "shard-list")
     # one short row per shard of up to shard_ids ids: the list is a millionth of the ids it describes
     start, listed = 0, []
