@@ -206,8 +206,8 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = 20_000, roun
     """Adds sequence_id and offset to pieces of ``capacity`` tokens at most (columns of :func:`pieces_of`).
 
     A piece of full length is a sequence of its own and is not moved. The others are dealt evenly, by a hash of their
-    number, into groups of about ``group_rows`` that are packed apart, so no task grows with the table. The emptiest sequence of each group is
-    given up and its pieces are packed again with those of other groups, until one group is left. An empty table gives no row.
+    number, into groups of about ``group_rows`` that are packed apart, so no task grows with the table. The emptiest sequences of each group, with a quarter
+    of its pieces, are given up and packed again with those of other groups, until one group is left. An empty table gives no row.
     """
     full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -F.col("at") - 1, "offset": F.lit(0).cast("long")}).drop("at")
     names, done, base = full.columns, [full], 0
@@ -218,7 +218,9 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = 20_000, roun
             rows = rows.sort_values("at", ignore_index=True)
             where, offset = pack(rows["length"].tolist(), capacity, rounds)
             where = np.array(where, np.int64)
-            return rows.drop(columns=["part"]).assign(sequence_id=where + ((first + key[0]) << 32), offset=offset, loose=loose & (where == 0))
+            held = np.bincount(where, minlength=1)
+            again = np.maximum(np.searchsorted(np.cumsum(held), len(rows) // 4, "right"), 1) if loose else 0
+            return rows.drop(columns=["part"]).assign(sequence_id=where + ((first + key[0]) << 32), offset=offset, loose=where < again)
 
         return run
 
