@@ -40,7 +40,15 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def used_up(*tables: DataFrame) -> None:
+    """Deletes what :func:`written` wrote, once nothing will read it again."""
+    for t in tables:
+        discard(t.sparkSession, t._written_at)
 
 
 def discard(spark: SparkSession, path: str) -> None:

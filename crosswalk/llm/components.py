@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswalk.llm.common import written
+from crosswalk.llm.common import used_up, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
@@ -30,12 +30,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         roots = named.join(of2, F.col("v") == F.col("n")).where("cu != cv").select(F.greatest("cu", "cv").alias("r"), F.least("cu", "cv").alias("to"))
         hooks = written(roots.groupBy("r").agg(F.min("to").alias("to")), "hooks")
         if hooks.isEmpty():
+            used_up(pairs, hooks)
             return label
+        made = hooks
         # a root hooks to a smaller one, so hooks hold no cycle; two jumps each follow them further
         for _ in range(2):
             on = hooks.select(F.col("r").alias("r2"), F.col("to").alias("to2"))
             hooks = hooks.join(on, F.col("to") == F.col("r2"), "left").select("r", F.coalesce("to2", "to").alias("to"))
-        label = written(label.join(hooks, F.col("component") == F.col("r"), "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        old, label = label, written(label.join(hooks, F.col("component") == F.col("r"), "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        used_up(made, old)
     raise RuntimeError("the components did not settle")
 
 

@@ -32,10 +32,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def cells_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds topic and n_tokens; a null source or language is the value '' and a null text is empty."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumns({"__source": F.coalesce(F.col("source").cast("string"), F.lit("")), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "__topic": topic(text), "__tokens": tokens(text)})
+def cells_of(docs: DataFrame, text_col: str = "text", topic_of: Column | None = None) -> DataFrame:
+    """The rows as the struct row, with __source, __lang, __topic (``topic_of``, or else :func:`topic`) and __tokens; a null of the three is the value '' and a null text is empty."""
+    text, some = F.coalesce(F.col(text_col).cast("string"), F.lit("")), lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return docs.select(F.struct("*").alias("row"), some(F.col("source")).alias("__source"), some(F.col("lang")).alias("__lang"), (topic(text) if topic_of is None else some(topic_of)).alias("__topic"), tokens(text).alias("__tokens"))
 
 
 def rake(cells: pd.DataFrame, targets: dict[str, dict[str, float]], steps: int = STEPS) -> np.ndarray:
@@ -93,13 +93,22 @@ def uniform(id_col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, steps: int = STEPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row with __topic, __tokens, __weight (raked over actual share of its cell), __probability and __sampled; columns of ``docs`` stay.
+ADDED = ("__source", "__lang", "__topic", "__tokens", "__weight", "__probability", "__sampled")
 
-    Without ``targets`` they are :func:`tempered` by ``POWERS``. The same id is always sampled alike. More than a million
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The columns of ``docs`` and those that :func:`mixed_rows` adds; a column of ``docs`` named like one of these gives way to it."""
+    return mixed_rows(docs, **options).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ADDED], *ADDED)
+
+
+def mixed_rows(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, steps: int = STEPS, id_col: str = "doc_id", text_col: str = "text", topic_of: Column | None = None) -> DataFrame:
+    """Every row as the struct row, with __source, __lang, __topic, __tokens, __weight (raked over actual share of its cell), __probability and __sampled.
+
+    ``topic_of``: a column of ``docs``, such as a classifier's class; :func:`topic`, a rule on the text, in its absence.
+    Without ``targets`` they are :func:`tempered` by ``POWERS``. The same id is always sampled alike, repeated rows too; an empty table gives none. More than a million
     combinations of source, language and topic are refused: the table of cells is held on the driver and sent to every task.
     """
-    rows = cells_of(docs, text_col)
+    rows = cells_of(docs, text_col, topic_of)
     found = rows.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMS]).agg(F.sum("__tokens").alias("tokens")).limit(MOST_CELLS + 1).toPandas()
     if len(found) > MOST_CELLS:
         raise ValueError(f"more than {MOST_CELLS} combinations of source, language and topic")
@@ -113,12 +122,12 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
     kinds = "__source string, __lang string, __topic string, __weight double, __probability double"
     cells = spark.createDataFrame([tuple(r) for r in found[[*DIMS, "weight", "probability"]].itertuples(index=False)] if len(found) else [], kinds)
     out = rows.join(F.broadcast(cells), ["__source", "__lang", "__topic"], "left")
-    return out.withColumn("__sampled", uniform(F.col(id_col)) < F.col("__probability"))
+    return out.withColumn("__sampled", uniform(F.col("row").getField(id_col)) < F.col("__probability"))
 
 
 def select_mixed(docs: DataFrame, **options) -> DataFrame:
     """The sampled rows of ``docs`` with their own columns."""
-    return mixed(docs, **options).where("__sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed_rows(docs, **options).where("__sampled").select("row.*")
 
 
 def sql(steps: int = STEPS, budget: float = BUDGET) -> str:

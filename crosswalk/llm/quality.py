@@ -101,8 +101,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return cols.mapInArrow(run, StructType([cols.schema["doc_id"]]).add("x", ArrayType(DoubleType())))
 
 
-def _summed(rows: DataFrame, sums, size: int, fan: int = 16) -> np.ndarray | None:
-    """Adds up what ``sums(x, y)`` gives for blocks of rows: inside each partition, then in ``fan`` groups, then here."""
+def _summed(rows: DataFrame, sums, size: int, fans: tuple[int, ...] = (256, 16)) -> np.ndarray | None:
+    """Adds up what ``sums(x, y)`` gives for blocks of rows: inside each partition, then in as many groups as each of ``fans`` says, then here."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -116,10 +116,16 @@ def _summed(rows: DataFrame, sums, size: int, fan: int = 16) -> np.ndarray | Non
             yield pa.RecordBatch.from_pydict({"s": [total.tobytes()]}, schema=pa.schema([("s", pa.binary())]))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"s": [np.sum([np.frombuffer(s) for s in pdf["s"]], axis=0).tobytes()]})
+        total = np.zeros(len(pdf["s"].iloc[0]) // 8)
+        for s in pdf["s"]:
+            total += np.frombuffer(s)
+        return pd.DataFrame({"g": pdf["g"].iloc[:1], "s": [total.tobytes()]})
 
     parts = rows.select("x", F.col("y").cast("double").alias("y")).mapInArrow(part, "s binary")
-    got = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(fan)).alias("g")).applyInPandas(lambda pdf: group(pdf), "s binary").collect()
+    parts = parts.withColumn("g", F.spark_partition_id())
+    for fan in fans:
+        parts = parts.withColumn("g", F.pmod("g", F.lit(fan)).cast("int")).groupBy("g").applyInPandas(group, "g int, s binary")
+    got = parts.collect()
     return np.sum([np.frombuffer(r["s"]) for r in got], axis=0).reshape(size) if got else None
 
 

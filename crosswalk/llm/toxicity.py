@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswalk.llm.common import blocks, claim, column, with_row, words, written
+from crosswalk.llm.common import blocks, claim, column, used_up, with_row, words, written
 
 #: words of a window, words from one to the next, and bytes from which a word is cut
 WORDS, STEP, LONGEST = 8, 5, 64
@@ -229,6 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
         return pd.DataFrame({"toxic": [m.toxic], "ordinary": [m.ordinary], "odds": [m.odds], "steps": [[{"e": e, "p": p} for e, p in m.steps]]})
 
     got = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "toxic binary, ordinary binary, odds array<double>, steps array<struct<e double, p double>>").collect()
+    used_up(rows)
     return Model(bytes(got[0]["toxic"]), bytes(got[0]["ordinary"]), list(got[0]["odds"]), [(x["e"], x["p"]) for x in got[0]["steps"]]) if got else Model()
 
 
