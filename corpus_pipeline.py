@@ -6,7 +6,7 @@ empty unless its decision is against them, and treats rows that share an id as i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crosswalk.llm import mixing, quality, toxicity
@@ -28,11 +28,15 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the smallest id, once. Rows without an id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    own = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    once = own.where("__id is not null").join(kept, F.col("__id") == F.col("__kept"), "left_semi").dropDuplicates(["__id"])
-    return once.unionByName(own.where("__id is null")).drop("__id")
+    """Keeps one document of each group of near duplicates: the smallest id, once. Rows without an id stay.
+
+    Rows that share an id are one group, whatever their texts; the one whose text is first in order stays, so a lost executor changes nothing.
+    """
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
+    of_id = Window.partitionBy("key").orderBy(F.col("row.text").asc_nulls_last(), F.xxhash64(F.to_json("row")))
+    once = rows.where("key is not null").join(kept, F.col("key") == F.col("kept_id"), "left_semi").withColumn("n", F.row_number().over(of_id)).where("n = 1")
+    return once.select("row.*").unionByName(rows.where("key is null").select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
