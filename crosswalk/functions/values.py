@@ -15,6 +15,7 @@ GRAPH_TYPES = {
     "string": "STRING", "anyURI": "STRING", "normalizedString": "STRING", "integer": "INTEGER", "int": "INTEGER", "long": "INTEGER", "nonNegativeInteger": "INTEGER",
     "positiveInteger": "INTEGER", "decimal": "FLOAT", "float": "FLOAT", "double": "FLOAT", "boolean": "BOOLEAN", "date": "DATE", "dateTime": "DATETIME",
 }
+# Fixed values too, tried in this order: endings of type names and the patterns they mean.
 PATTERN_SUFFIXES = (
     ("AugmentationType", "augmentation"), ("AssociationType", "association"), ("MetadataType", "metadata"), ("AdapterType", "adapter"),
     ("CodeSimpleType", "simple_value"), ("CodeType", "simple_value"), ("SimpleType", "simple_value"),
@@ -53,7 +54,7 @@ def graph_type(iri: Column) -> Column:
 
 def xml_datatype(iri: Column) -> Column:
     """xs.name of an XSD IRI or of xs:name, else xs.string."""
-    return F.when(iri.startswith("xs:"), F.concat(F.lit("xs."), F.substring(iri, 4, 1_000_000))).when(iri.startswith(XSD), F.concat(F.lit("xs."), F.replace(iri, F.lit(XSD), F.lit("")))).otherwise(F.lit("xs.string"))
+    return F.when(iri.startswith("xs:"), F.concat(F.lit("xs."), F.substr(iri, F.lit(4)))).when(iri.startswith(XSD), F.concat(F.lit("xs."), F.replace(iri, F.lit(XSD), F.lit("")))).otherwise(F.lit("xs.string"))
 
 
 def pattern_of(name: Column) -> Column:
@@ -78,7 +79,7 @@ def clean_definition(d: Column) -> Column:
     """Lines trimmed and joined by spaces, without element numbers and story markers; a story's own text stays."""
     lines = F.transform(F.split(F.coalesce(d, F.lit("")), "\n"), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: ~x.startswith("Element#") & (x != "User Story:"))
-    told = F.transform(kept, lambda x: F.when(x.startswith("User Story: "), F.trim(F.substring(x, 13, 1_000_000))).otherwise(x))
+    told = F.transform(kept, lambda x: F.when(x.startswith("User Story: "), F.trim(F.substr(x, F.lit(13)))).otherwise(x))
     return F.trim(F.array_join(F.filter(told, lambda x: x != ""), " "))
 
 
@@ -96,10 +97,18 @@ def cypher_text(s: Column) -> Column:
 
 def cypher_literal(value: Column, datatype: Column) -> Column:
     """Numbers and booleans bare where their form is valid, other values quoted."""
-    kind = graph_type(datatype)
-    whole, real, truth = value.rlike(r"^[+-]?\d+$"), value.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), F.lower(value).isin("true", "false")
-    bare = ((kind == "INTEGER") & whole) | ((kind == "FLOAT") & real)
-    return F.when(bare, value).when((kind == "BOOLEAN") & truth, F.lower(value)).otherwise(F.concat(F.lit("'"), cypher_text(value), F.lit("'")))
+    kind, bare = graph_type(datatype), F.regexp_replace(value, r"^\s+|\s+$", "")
+    whole, real = bare.rlike(r"^[+-]?\d+$"), bare.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")
+    digits = F.regexp_replace(F.regexp_replace(bare, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
+    truth = F.lower(bare)
+    out = F.when((kind == "INTEGER") & whole, F.when(digits == "-0", "0").otherwise(digits)).when((kind == "FLOAT") & real, bare)
+    out = out.when((kind == "BOOLEAN") & truth.isin("true", "1"), "true").when((kind == "BOOLEAN") & truth.isin("false", "0"), "false")
+    return out.otherwise(F.concat(F.lit("'"), cypher_text(value), F.lit("'")))
+
+
+def round_even(c: Column, digits: int) -> Column:
+    """Rounds a number's shortest decimal form, halves to the even digit."""
+    return F.bround(c, digits)
 
 
 def language_rank(lang: Column) -> Column:

@@ -19,10 +19,15 @@ def best_definition(uses: DataFrame, definitions: DataFrame) -> DataFrame:
 
 
 def longest_prefix(terms: DataFrame, namespaces: DataFrame) -> DataFrame:
-    """Terms (term) with the namespace (prefix, base) of the longest base that they begin with and go beyond; ties by prefix. Namespaces are a short list."""
-    n = F.broadcast(namespaces)
-    hit = terms.join(n, F.col("term").startswith(F.col("base")) & (F.length("term") > F.length("base")), "left")
-    return first_by(hit, ["term"], F.desc(F.length("base")), "prefix")
+    """Terms (term) with the namespace (prefix, base) of the longest base that they begin with and go beyond; ties by prefix.
+
+    A term is cut to each length that a base has, and the cuts are joined with the bases, so no term is compared with every base.
+    """
+    sizes = F.broadcast(namespaces.agg(F.collect_set(F.length("base")).alias("__sizes"), F.lit(1).alias("__one")))  # one row
+    cuts = F.transform(F.filter("__sizes", lambda n: n < F.length("term")), lambda n: F.substr("term", F.lit(1), n))
+    named = first_by(namespaces.select("prefix", "base"), ["base"], "prefix")
+    hit = terms.select("term").distinct().withColumn("__one", F.lit(1)).join(sizes, "__one").select("term", F.explode(cuts).alias("base")).join(named, "base")
+    return terms.join(first_by(hit, ["term"], F.desc(F.length("base")), "prefix"), "term", "left").select(*terms.columns, "prefix", "base")
 
 
 def containing(types: DataFrame) -> DataFrame:

@@ -8,22 +8,76 @@ from pyspark.sql import functions as F
 from crosswalk.operators.lineage import cut
 
 
-def chains(edges: DataFrame, most: int = 64) -> DataFrame:
+def chains(edges: DataFrame) -> DataFrame:
     """node and chain (its ancestors, nearest first) from (node, parent), a parent each at most.
 
-    A chain ends before a node that it already has, the start too. Chains double each round: a chain of 2^k ancestors is followed by that of its last one.
+    A chain ends before a node that it already has, the start too. Chains double each round: a chain of 2^k ancestors is followed by that of its
+    last one; rounds end when all chains have, however long.
     """
     e = edges.where("parent is not null").groupBy("node").agg(F.min("parent").alias("parent"))
-    at = e.select("node", F.array("parent").alias("chain"), F.col("parent").alias("last"))
-    nodes = edges.select("node").distinct()
-    for _ in range(max(1, (most - 1).bit_length())):
+    kind = f"array<{dict(e.dtypes)['parent']}>"
+    # past the first repetition a chain runs round a cycle, so its distinct nodes in order are what comes before
+    own = lambda c: F.slice(F.array_distinct(F.concat(F.array("node"), c)), 2, F.size(c) + 1)
+    first = own(F.array("parent"))
+    at = cut(e.select("node", first.alias("chain"), F.when(F.size(first) > 0, F.col("parent")).alias("last")))
+    while not at.where("last is not null").isEmpty():
         nxt = at.select(F.col("node").alias("n2"), F.col("chain").alias("c2"), F.col("last").alias("l2"))
-        grown = at.join(nxt, F.col("last") == F.col("n2"), "left")
-        at = grown.select("node", F.when(F.col("c2").isNull(), F.col("chain")).otherwise(F.concat("chain", "c2")).alias("chain"), F.coalesce("l2", "last").alias("last"))
-    # cut at the first repetition, which only a cycle has
-    cut = F.aggregate("chain", F.struct(F.array().cast(dict(at.dtypes)["chain"]).alias("seen"), F.lit(False).alias("done")), lambda s, x: F.when(s["done"] | F.array_contains(s["seen"], x) | (x == F.col("node")), F.struct(s["seen"].alias("seen"), F.lit(True).alias("done"))).otherwise(F.struct(F.array_append(s["seen"], x).alias("seen"), F.lit(False).alias("done"))), lambda s: s["seen"])
-    at = at.select("node", cut.alias("chain"))
-    return nodes.join(at, "node", "left").select("node", F.coalesce("chain", F.array().cast(dict(at.dtypes)["chain"])).alias("chain"))
+        both = at.join(nxt, F.col("last") == F.col("n2"), "left").withColumn("all", F.when(F.col("c2").isNotNull(), F.concat("chain", "c2")).otherwise(F.col("chain")))
+        grown = both.withColumn("kept", own(F.col("all")))
+        at = cut(grown.select("node", F.col("kept").alias("chain"), F.when(F.col("c2").isNotNull() & (F.size("kept") == F.size("all")), F.col("l2")).alias("last")))
+    return edges.select("node").distinct().join(at.select("node", "chain"), "node", "left").select("node", F.coalesce("chain", F.array().cast(kind)).alias("chain"))
+
+
+def root_first(chain: DataFrame) -> DataFrame:
+    """Chains from the root on, with the node itself at the end."""
+    return chain.select("node", F.concat(F.reverse("chain"), F.array("node")).alias("chain"))
+
+
+def ancestors(edges: DataFrame) -> DataFrame:
+    """Distinct (node, ancestor) of nodes with any number of parents (node, parent); a node is not its own ancestor, cycles or not."""
+    e = cut(edges.where("parent is not null and parent <> node").select("node", "parent").distinct())
+    seen = front = e.select("node", F.col("parent").alias("ancestor"))
+    while True:
+        # pairs double their reach each round
+        step = seen.join(seen.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further")), "ancestor").select("node", F.col("further").alias("ancestor"))
+        front = cut(step.where("node <> ancestor").distinct().join(seen, ["node", "ancestor"], "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(front))
+
+
+def closure(roots: DataFrame, references: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """Every id (id) that references (id, ref) lead to from ``roots`` (id), these too; references to ``stop`` (id) are not followed."""
+    r = references.select("id", "ref").distinct()
+    if stop is not None:
+        r = r.join(stop.select(F.col("id").alias("ref")), "ref", "left_anti")
+    r, seen = cut(r), cut(roots.select("id").distinct())
+    front = seen
+    while True:
+        front = cut(r.join(front, "id", "left_semi").select(F.col("ref").alias("id")).distinct().join(seen, "id", "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(front))
+
+
+def with_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes (node) with the distinct neighbours that edges (type, src, dst) of either direction lead to, as sorted structs; none is an empty list."""
+    both = edges.select(F.col("src").alias("node"), "type", F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("node"), "type", F.col("src").alias("other")))
+    near = both.distinct().groupBy("node").agg(F.sort_array(F.collect_set(F.struct("type", "other"))).alias("relations"))
+    got = nodes.join(near, "node", "left")
+    return got.withColumn("relations", F.coalesce("relations", F.array().cast(dict(near.dtypes)["relations"])))
+
+
+def with_value(nodes: DataFrame, label: str, key: str, value: str) -> DataFrame:
+    """Nodes (label, props: a map) of a label whose property has a value."""
+    return nodes.where((F.col("label") == label) & (F.try_element_at("props", F.lit(key)) == value))
+
+
+def labelled_classes(triples: DataFrame, type_: str = "rdf:type", kind: str = "owl:Class", label: str = "rdfs:label", comment: str = "rdfs:comment") -> DataFrame:
+    """Classes with label and comment where there are some, by label."""
+    least = lambda p, name: triples.where(F.col("p") == p).groupBy("s").agg(F.min("o").alias(name))
+    of = triples.where((F.col("p") == type_) & (F.col("o") == kind)).select("s").distinct()
+    return of.join(least(label, "label"), "s", "left").join(least(comment, "comment"), "s", "left").orderBy("label", "s")
 
 
 def nearest_kept(chain: DataFrame, excluded: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosswalk.functions.values import UNDECIDED
+from crosswalk.operators.lineage import sent
 
 
 def finding(df: DataFrame, severity: str, code: str, key: Column, message: Column) -> DataFrame:
@@ -111,4 +112,4 @@ def routing(checks: DataFrame, classes: DataFrame, advice: dict[str, str]) -> Da
     failed = checks.where("status <> 'pass'")
     pairs = [F.lit(x) for kv in advice.items() for x in kv]
     to = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("check")), F.lit("review")) if pairs else F.lit("review")
-    return failed.join(F.broadcast(classes), failed["details"].contains(classes["concept"])).select("check", "concept", to.alias("recommendation"))
+    return failed.join(sent(classes), failed["details"].contains(classes["concept"])).select("check", "concept", to.alias("recommendation"))

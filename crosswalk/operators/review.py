@@ -9,12 +9,13 @@ from crosswalk.functions.values import real_target
 from crosswalk.operators.decide import latest
 
 
-def upsert(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows with the non-null values of ``changes`` in place of their own; keys that only ``changes`` has are added. ``changes`` has a row a key."""
+def upsert(rows: DataFrame, changes: DataFrame, key: str, nulls: bool = False) -> DataFrame:
+    """Rows with the values of ``changes`` in place of their own, null ones only with ``nulls``; keys that only ``changes`` has are added. ``changes`` has a row a key."""
     own = [c for c in changes.columns if c != key]
-    new = changes.select(key, *[F.col(c).alias(f"__{c}") for c in own])
+    new = changes.select(key, F.lit(True).alias("__changed"), *[F.col(c).alias(f"__{c}") for c in own])
     both = rows.join(new, key, "full")
-    return both.select(*[F.coalesce(f"__{c}", c).alias(c) if c in own else F.col(c) for c in rows.columns])
+    value = lambda c: F.when(F.col("__changed"), F.col(f"__{c}")).otherwise(F.col(c)) if nulls else F.coalesce(f"__{c}", c)
+    return both.select(*[value(c).alias(c) if c in own else F.col(c) for c in rows.columns])
 
 
 def accept(matrix: DataFrame, concepts: DataFrame) -> DataFrame:

@@ -92,6 +92,26 @@ def find_concept(names: DataFrame, ref: str) -> DataFrame:
     return found.join(found.agg(F.min("kind").alias("least")), F.col("kind") == F.col("least")).drop("least")
 
 
+def resolve_concept(names: DataFrame, refs: DataFrame) -> DataFrame:
+    """References (ref) with the one name (name) that each means: the equal one; else the only one that ends in it; else the only one that does in any case. Null where there is none or more than one."""
+    local = lambda c: F.substring_index(c, ":", -1)
+    n, r = names.select("name").distinct(), refs.select("ref").distinct()
+    only = lambda key, ask: n.groupBy(key.alias("__key")).agg(F.min("name").alias("__name"), F.count("*").alias("__n")).join(r.select("ref", ask.alias("__key")), "__key").where("__n = 1").select("ref", "__name")
+    equal = r.join(n, F.col("ref") == F.col("name")).select("ref", F.col("name").alias("equal"))
+    ends = only(local(F.col("name")), F.col("ref")).withColumnRenamed("__name", "ends")
+    folded = only(F.lower(local(F.col("name"))), F.lower("ref")).withColumnRenamed("__name", "folded")
+    return refs.join(equal, "ref", "left").join(ends, "ref", "left").join(folded, "ref", "left").withColumn("name", F.coalesce("equal", "ends", "folded")).drop("equal", "ends", "folded")
+
+
+def sample_two_thirds(rows: DataFrame, is_type, ident: str, n: int, seed: int = 42, offset: int = 0) -> DataFrame:
+    """``n`` rows, two thirds of them (rounded down) types and the rest others, in the order of a hash of their id and ``seed``; ``offset`` rows are passed over in the same shares."""
+    types, passed = n * 2 // 3, offset * 2 // 3
+    w = Window.partitionBy(F.coalesce(is_type, F.lit(False))).orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(ident).cast("string"))), ident)
+    at = rows.withColumn("__type", F.coalesce(is_type, F.lit(False))).withColumn("place", F.row_number().over(w))
+    lo, most = F.when(F.col("__type"), passed).otherwise(offset - passed), F.when(F.col("__type"), types).otherwise(n - types)
+    return at.where((F.col("place") > lo) & (F.col("place") <= lo + most)).drop("__type")
+
+
 def stratified(rows: DataFrame, stratum: str, ident: str, n: int) -> DataFrame:
     """``n`` rows of each stratum in the order of a hash of their id."""
     w = Window.partitionBy(stratum).orderBy(F.md5(F.col(ident).cast("string")), ident)

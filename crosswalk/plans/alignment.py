@@ -105,7 +105,8 @@ def iri_parts(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract(u, r"([^#/:]*)$", 1).alias("tail"), names.local_name(u).alias("local_name"), names.namespace_of(u).alias("namespace"))
 
 
-_P = (r"^https?://data\.([^.]+)\.[^/]+/ontology/([^/#]+)", r"^https?://([^.]+)\.[^/]+/ontology/([^/#]+)", r"^https?://([^.]+)\.[^/]+/([^/#]+)")
+# The address forms that name an organisation and a source.
+_P = names.ADDRESS_FORMS
 
 
 @query(f"""WITH u AS (SELECT page_id, regexp_replace(url, '[#/]+$', '') AS u FROM pages), p AS (SELECT *, list_filter(string_split(u, '/'), lambda x: x <> '' AND NOT contains(x, ':') AND NOT contains(x, '.')) AS l FROM u)
@@ -175,38 +176,42 @@ def duplicate_definitions(spark, d):
     return catalog.duplicate_definitions(rows).withColumnRenamed("definition", "digest")
 
 
-_MEMBERS = "SELECT DISTINCT c_mktsegment AS vocab, n_name AS member FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 = 0 AND c_acctbal > 3000"
+_WHOLE = "w AS (SELECT DISTINCT c_mktsegment AS vocab, n_name, o_orderpriority AS p, o_orderstatus AS s, month(o_orderdate) AS m FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey)"
+_MEMBERS = "SELECT DISTINCT vocab, n_name || '/' || p || '/' || s AS member FROM w"
 
 
-@query(f"""WITH m AS ({_MEMBERS}), z AS (SELECT vocab, count(*) AS n FROM m GROUP BY vocab), b AS (SELECT l.vocab AS a, r.vocab AS b, count(*) AS shared FROM m l JOIN m r ON l.member = r.member AND l.vocab < r.vocab GROUP BY ALL)
-SELECT x.vocab AS a, y.vocab AS b, coalesce(shared, 0) AS shared, x.n - coalesce(shared, 0) AS only_a, y.n - coalesce(shared, 0) AS only_b, coalesce(shared, 0)::DOUBLE / (x.n + y.n - coalesce(shared, 0)) AS jaccard FROM z x JOIN z y ON x.vocab < y.vocab LEFT JOIN b ON b.a = x.vocab AND b.b = y.vocab""")
-def jaccard_pairs(spark, d):
-    return similarity.pairs(_segment_nations(spark, d))
+def _segments(spark, d):
+    """What the customers of each market segment have ordered: nations, priorities, statuses and months."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    return c.select(F.col("c_mktsegment").alias("vocab"), "n_name", F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"), F.month("o_orderdate").alias("m")).distinct()
+
 
+def _members(w):
+    return w.select("vocab", F.concat_ws("/", "n_name", "p", "s").alias("member"))
 
-def _segment_nations(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 3 = 0 and c_acctbal > 3000")
-    return c.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("vocab"), F.col("n_name").alias("member"))
+
+@query(f"""WITH {_WHOLE}, m AS ({_MEMBERS}), z AS (SELECT vocab, count(*) AS n FROM m GROUP BY vocab), b AS (SELECT l.vocab AS a, r.vocab AS b, count(*) AS shared FROM m l JOIN m r ON l.member = r.member AND l.vocab < r.vocab GROUP BY ALL)
+SELECT x.vocab AS a, y.vocab AS b, coalesce(shared, 0) AS shared, x.n - coalesce(shared, 0) AS only_a, y.n - coalesce(shared, 0) AS only_b, coalesce(shared, 0)::DOUBLE / (x.n + y.n - coalesce(shared, 0)) AS jaccard FROM z x JOIN z y ON x.vocab < y.vocab LEFT JOIN b ON b.a = x.vocab AND b.b = y.vocab""")
+def jaccard_pairs(spark, d):
+    return similarity.pairs(_members(_segments(spark, d)))
 
 
 _PAIRED = """SELECT l.vocab AS a, r.vocab AS b, coalesce(s.n, 0)::DOUBLE / (l.n + r.n - coalesce(s.n, 0)) AS j FROM (SELECT vocab, count(*) AS n FROM {m} GROUP BY vocab) l JOIN (SELECT vocab, count(*) AS n FROM {m} GROUP BY vocab) r ON l.vocab < r.vocab
  LEFT JOIN (SELECT x.vocab AS a, y.vocab AS b, count(*) AS n FROM {m} x JOIN {m} y ON x.member = y.member AND x.vocab < y.vocab GROUP BY ALL) s ON s.a = l.vocab AND s.b = r.vocab"""
 
 
-@query(f"""WITH mt AS ({_MEMBERS}), mn AS (SELECT DISTINCT c_mktsegment AS vocab, c_nationkey % 7 AS member FROM customer WHERE c_custkey % 50 = 0), mc AS (SELECT DISTINCT c_mktsegment AS vocab, c_custkey % 97 AS member FROM customer WHERE c_custkey % 3 = 1),
-mp AS (SELECT DISTINCT c_mktsegment AS vocab, n_name AS key, (c_custkey % 5)::VARCHAR AS member FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 = 0 AND c_acctbal > 3000),
-k AS (SELECT vocab, key, count(*) AS n FROM mp GROUP BY ALL), e AS (SELECT l.vocab AS a, r.vocab AS b, l.key, l.n AS na, r.n AS nb, (SELECT count(*) FROM mp x JOIN mp y ON x.member = y.member AND x.key = y.key WHERE x.vocab = l.vocab AND y.vocab = r.vocab AND x.key = l.key) AS s FROM k l JOIN k r ON l.key = r.key AND l.vocab < r.vocab),
+@query(f"""WITH {_WHOLE}, mt AS ({_MEMBERS}), mn AS (SELECT DISTINCT vocab, n_name AS member FROM w), mc AS (SELECT DISTINCT vocab, s || p AS member FROM w),
+mp AS (SELECT DISTINCT vocab, n_name AS key, s || p || m AS member FROM w),
+k AS (SELECT vocab, key, count(*) AS n FROM mp GROUP BY ALL), x AS (SELECT l.vocab AS a, r.vocab AS b, key, count(*) AS s FROM mp l JOIN mp r USING (key, member) WHERE l.vocab < r.vocab GROUP BY ALL),
+e AS (SELECT l.vocab AS a, r.vocab AS b, l.n AS na, r.n AS nb, coalesce(s, 0) AS s FROM k l JOIN k r ON l.key = r.key AND l.vocab < r.vocab LEFT JOIN x ON x.a = l.vocab AND x.b = r.vocab AND x.key = l.key),
 pt AS ({_PAIRED.format(m="mt")}), pn AS ({_PAIRED.format(m="mn")}), pc AS ({_PAIRED.format(m="mc")}), pp AS (SELECT a, b, round(avg(s::DOUBLE / (na + nb - s)), 4) AS j FROM e GROUP BY ALL)
 SELECT a, b, round(0.4 * coalesce(pt.j, 0) + 0.3 * coalesce(pp.j, 0) + 0.1 * coalesce(pn.j, 0) + 0.2 * coalesce(pc.j, 0), 4) AS composite FROM pt FULL JOIN pp USING (a, b) FULL JOIN pn USING (a, b) FULL JOIN pc USING (a, b)""")
 def overlap_composite(spark, d):
-    c = table(spark, d, "customer")
+    w = _segments(spark, d)
     scored = lambda df: similarity.pairs(df).select("a", "b", F.col("jaccard").alias("score"))
-    ns = c.where("c_custkey % 50 = 0").select(F.col("c_mktsegment").alias("vocab"), (F.col("c_nationkey") % 7).alias("member"))
-    cl = c.where("c_custkey % 3 = 1").select(F.col("c_mktsegment").alias("vocab"), (F.col("c_custkey") % 97).alias("member"))
-    kept = c.where("c_custkey % 3 = 0 and c_acctbal > 3000").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    props = kept.select(F.col("c_mktsegment").alias("vocab"), F.col("n_name").alias("key"), (F.col("c_custkey") % 5).cast("string").alias("member"))
+    props = w.select("vocab", F.col("n_name").alias("key"), F.concat("s", "p", F.col("m").cast("string")).alias("member"))
     per_type = similarity.keyed_overlap(props).select("a", "b", F.col("average_jaccard").alias("score"))
-    return similarity.composite({"type": scored(_segment_nations(spark, d)), "property": per_type, "namespace": scored(ns), "codelist": scored(cl)})
+    return similarity.composite({"type": scored(_members(w)), "property": per_type, "namespace": scored(w.select("vocab", F.col("n_name").alias("member"))), "codelist": scored(w.select("vocab", F.concat("s", "p").alias("member")))})
 
 
 @query("""WITH o AS (SELECT url AS path, md5(html) AS d FROM pages WHERE page_id % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1), n AS (SELECT url AS path, md5(html || CASE WHEN page_id % 5 = 0 THEN '!' ELSE '' END) AS d FROM pages WHERE page_id % 8 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1)

@@ -33,7 +33,7 @@ def qname(iri: Column, namespaces: dict[str, str]) -> Column:
     """prefix:name by the first namespace (of ``namespaces``, IRI by prefix, in order) that fits, else the IRI."""
     out = None
     for prefix, base in namespaces.items():
-        hit = F.concat(F.lit(prefix + ":"), F.substring(iri, len(base) + 1, 100_000))
+        hit = F.concat(F.lit(prefix + ":"), F.substr(iri, F.lit(len(base) + 1)))
         out = F.when(iri.startswith(base), hit) if out is None else out.when(iri.startswith(base), hit)
     return out.otherwise(iri) if out is not None else iri
 

@@ -40,8 +40,8 @@ def csv_model(rows: DataFrame, strict_types: bool = False) -> DataFrame:
 
 
 def xml_rows(spark: SparkSession, path: str, tag: str, schema: str | None = None) -> DataFrame:
-    """Elements of an XML model as rows; a broken file gives none."""
-    r = spark.read.format("xml").option("rowTag", tag).option("mode", "DROPMALFORMED")
+    """Elements of an XML model as rows; a broken element is an error, not a lost row."""
+    r = spark.read.format("xml").option("rowTag", tag).option("mode", "FAILFAST")
     return (r.schema(schema) if schema else r).load(path)
 
 

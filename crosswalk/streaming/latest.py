@@ -24,5 +24,8 @@ def keep_latest(log: DataFrame, key: str, order: list[str], path: str, checkpoin
         spark = batch.sparkSession
         before = spark.read.schema(schema).parquet(f"{path}/v{number - 1}") if number else spark.createDataFrame([], schema)
         latest(before.unionByName(batch), key, order).write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number > 1:  # a batch that runs again reads the version before; older ones go
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
