@@ -71,3 +71,80 @@ def progress(stages: DataFrame) -> DataFrame:
 def unfinished(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't done yet, for writes that go on where they stopped."""
     return rows.join(done.select(key).distinct(), key, "left_anti")
+
+
+def saved(log: DataFrame, decisions: DataFrame, properties: DataFrame) -> DataFrame:
+    """New rows of a decision log: ``decisions`` (concept, action, target, rationale) numbered on from the last id, each with its accepted property decisions (concept, name, action, target) in order of name."""
+    from crosswalk.operators.lineage import numbered
+
+    last = F.lit(log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+    own = properties.where("reviewStatus = 'accepted'").groupBy("concept").agg(F.sort_array(F.collect_list(F.struct("name", "action", "target"))).alias("propertyDecisions"))
+    got = numbered(decisions, ["concept"], "id").withColumn("id", F.col("id") + last).join(own, "concept", "left")
+    return got.withColumn("propertyDecisions", F.coalesce("propertyDecisions", F.array().cast(dict(own.dtypes)["propertyDecisions"])))
+
+
+def reset(matrix: DataFrame, snapshot: DataFrame, key: str = "concept") -> DataFrame:
+    """The matrix as the snapshot has it: rows of the snapshot alone, whatever was decided since; columns that only the matrix has are null."""
+    kinds = dict(matrix.dtypes)
+    return snapshot.select(*[F.col(c) if c in snapshot.columns else F.lit(None).cast(kinds[c]).alias(c) for c in matrix.columns])
+
+
+def requested(requests: DataFrame, name: str, why: str, at) -> DataFrame:
+    """Requests (id, name, why, status, created_at, completed_at) and one more, pending, with the next id."""
+    last = requests.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    spark = requests.sparkSession
+    one = spark.createDataFrame([(name, why)], "name string, why string").select((F.lit(last) + 1).cast(dict(requests.dtypes)["id"]).alias("id"), "name", "why", F.lit("pending").alias("status"), F.lit(at).cast(dict(requests.dtypes)["created_at"]).alias("created_at"), F.lit(None).cast(dict(requests.dtypes)["completed_at"]).alias("completed_at"))
+    return requests.unionByName(one)
+
+
+def completed(requests: DataFrame, ident: int, at) -> DataFrame:
+    """Requests of which one is completed; an unknown id is an error, and one that is completed already stays as it is."""
+    if requests.where(F.col("id") == ident).isEmpty():
+        raise ValueError(f"no request {ident}")
+    now = (F.col("id") == ident) & (F.col("status") == "pending")
+    return requests.withColumns({"status": F.when(now, "completed").otherwise(F.col("status")), "completed_at": F.when(now, F.lit(at)).otherwise(F.col("completed_at"))})
+
+
+def by_status(requests: DataFrame, status: str | None = None) -> DataFrame:
+    """Requests of a status, the newest first; of any, pending ones first."""
+    some = requests.where(F.col("status") == status) if status else requests
+    return some.orderBy(F.when(F.col("status") == "pending", 0).otherwise(1), F.desc("created_at"), F.desc("id"))
+
+
+OBSERVED = ("pipeline", "catalog", "matrix", "package", "documentation")
+
+
+def observation(stage: int, kind: str, component: str, text: str, at, target: str = "pipeline", impact: str = "low", workaround: str | None = None):
+    """A row for the log of observations; an unknown target or an empty text is an error."""
+    if target not in OBSERVED:
+        raise ValueError(f"no target {target!r}")
+    if not text.strip():
+        raise ValueError("an observation says something")
+    return (stage, kind, component, text, workaround, impact, target, at)
+
+
+def may_start(stages: DataFrame, number: int) -> bool:
+    """Whether a stage may start: every one before it is completed, as none may be jumped over."""
+    return stages.where((F.col("number") < number) & (F.col("status") != "completed")).isEmpty()
+
+
+def dispatch(action: str, matrix: DataFrame, properties: DataFrame, **given) -> tuple[DataFrame, DataFrame]:
+    """Applies a review action by name and returns the new matrix and properties.
+
+    approve (concepts), approve_all, change_target (changes, target_properties), resolve_property (decisions, catalog). An unknown action is an error.
+    """
+    from crosswalk.operators.decide import retarget
+
+    if action == "approve":
+        return accept(matrix, given["concepts"]), accept_properties(properties, given["concepts"])
+    if action == "approve_all":
+        done = approve_all(matrix, properties)
+        return done, accept_properties(properties, done.where("reviewStatus = 'accepted'"))
+    if action == "change_target":
+        # only the changed concepts are resolved anew; the others' rows stay
+        changed = retarget(matrix.select("concept", "target").join(given["changes"].select("concept"), "concept", "left_semi"), given["changes"], properties, given["target_properties"], given.get("default_base"))
+        own = [c for c in matrix.columns if c in changed.columns and c != "concept"]
+        return upsert(matrix, changed.select("concept", *own), "concept", nulls=True), properties
+    if action == "resolve_property":
+        return matrix, decide_property(properties, given["decisions"], given["catalog"])
+    raise ValueError(f"no review action {action!r}")

@@ -173,6 +173,55 @@ def triples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return files.mapInPandas(run, TRIPLE).dropDuplicates()
 
 
+def parse_column(texts: DataFrame, text: str = "text", graph: str = "graph") -> DataFrame:
+    """Distinct triples of Turtle texts, one a row, each with the name of its graph; blank nodes are named apart for each. A null text has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in TRIPLE.split(", ")]
+        for pdf in batches:
+            yield pd.DataFrame([t for x, g in zip(pdf[text], pdf[graph], strict=True) if x is not None for t in Turtle(x, g).parse()], columns=names)
+
+    return texts.select(text, graph).mapInPandas(run, TRIPLE).dropDuplicates()
+
+
+#: a statement of N-Triples: subject, predicate, object
+_STATEMENT = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:[^\s.]+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*\.\s*(?:#.*)?$'
+
+
+def ntriples(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct triples of N-Triples files by lines, in the JVM, so that one file is read by many tasks. Comments and empty lines are passed over; another line that is no statement is an error.
+
+    Blank nodes are named apart for each file. Escapes are those of JSON strings; \\U with eight digits stays as it is written.
+    """
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("graph")).where("line <> '' and not startswith(line, '#')")
+    part = lambda k: F.regexp_extract("line", _STATEMENT, k)
+    fits = F.when(F.col("line").rlike(_STATEMENT), F.col("line")).otherwise(F.raise_error(F.concat(F.lit("no statement: "), F.substring("line", 1, 80))))
+    t = lines.withColumn("line", fits).select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"), "graph")
+    bare = lambda c: F.regexp_replace(c, "^<|>$", "")
+    blank = lambda c: F.concat(c, F.lit("_"), F.substring(F.md5("graph"), 1, 8))
+    quoted = F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1)
+    value = F.get(F.from_json(F.concat(F.lit('["'), quoted, F.lit('"]')), "array<string>"), 0)
+    literal, lang = F.col("o").startswith('"'), F.lower(F.regexp_extract("o", r'"@([A-Za-z0-9-]+)$', 1))
+    kind = lambda c: F.when(c.startswith("_:"), "bnode").when(c.startswith('"'), "literal").otherwise("iri")
+    type_ = F.when(~literal, None).when(lang != "", RDF + "langString").otherwise(F.coalesce(F.nullif(F.regexp_extract("o", r'"\^\^<([^>]*)>$', 1), F.lit("")), F.lit(XSD + "string")))
+    node = lambda c: F.when(c.startswith("_:"), blank(c)).otherwise(bare(c))
+    got = {"s": node(F.col("s")), "s_kind": kind(F.col("s")), "p": F.col("p"), "o": F.when(literal, F.coalesce(value, quoted)).otherwise(node(F.col("o"))), "o_kind": kind(F.col("o")), "o_datatype": type_, "o_lang": F.nullif(lang, F.lit("")), "graph": F.col("graph")}
+    return t.select(*[got[f.split()[0]].cast("string").alias(f.split()[0]) for f in TRIPLE.split(", ")]).distinct()
+
+
+def manifest_graphs(t: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Triples of the graphs that a manifest (path, role) lists, with their role, but for aggregates: these repeat the others."""
+    m = manifest.where("role <> 'aggregate'").select(F.col("path").alias("__path"), "role")
+    named = t.withColumn("__path", F.regexp_extract("graph", r"([^/]+)$", 1))
+    m = m.withColumn("__path", F.regexp_extract("__path", r"([^/]+)$", 1)).dropDuplicates(["__path"])
+    return named.join(m, "__path").drop("__path")
+
+
+def of_role(t: DataFrame, role: str) -> DataFrame:
+    """Triples of the graphs whose declarations give them a role: shapes, vocab, seed-data or ontology."""
+    return t.join(file_roles(t).where(F.col("role") == role).select("graph"), "graph", "left_semi")
+
+
 def parse_text(spark: SparkSession, text: str, graph: str = "inline") -> DataFrame:
     return spark.createDataFrame(sorted(set(Turtle(text, graph).parse()), key=repr), TRIPLE)
 
