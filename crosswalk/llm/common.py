@@ -133,6 +133,10 @@ def claim(name: str) -> None:
         release()
 
 
+#: a word between others while they are encoded together
+MARK = "~"
+
+
 class Encoder:
     """Encodes whole texts with a public tokenizer file, keeping the ids of white-space separated pieces.
 
@@ -146,25 +150,49 @@ class Encoder:
 
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {"": b""}
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def __call__(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
         import numpy as np
 
-        cut = [(x or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
+        cut = pa.compute.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        for c in "\n\t\r":
+            cut = pa.compute.replace_substring(cut, c, " ")
+        cut = pa.compute.split_pattern(cut, " ")
+        sizes = pa.compute.list_value_length(cut).to_numpy(zero_copy_only=False)
+        flat = cut.flatten().dictionary_encode()
+        codes, names = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
+        del cut, flat
         if len(self.known) > self.keep:
             self.known = {w: x for w, x in self.known.items() if len(w) <= 8}
             if len(self.known) > self.keep // 2:
                 self.known = {"": b""}
-        known = self.known
-        new = list(set().union(*cut).difference(known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            flat = np.fromiter((i for x in ids for i in x), dtype="<u4").tobytes()
-            end = 0
-            for w, x in zip(part, ids, strict=True):
-                known[w] = flat[end : (end := end + 4 * len(x))]
-        return [b"".join(map(known.__getitem__, x)) for x in cut]
+        self._learn([w for w in names if w not in self.known])
+        pieces = [self.known[w] for w in names]
+        long_ = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        starts, whole = np.cumsum(long_) - long_, np.frombuffer(b"".join(pieces), "<u4")
+        del pieces, names
+        n = long_[codes]
+        ends = np.cumsum(n)
+        ids = whole[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[codes] - (ends - n), n)].tobytes()
+        at = [0, *(4 * ends[np.cumsum(sizes) - 1]).tolist()] if len(ends) else [0]
+        return [ids[x:y] for x, y in zip(at, at[1:])]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of words, many of them in one text, with a mark between them; where a word has the mark's id too, of each alone."""
+        import numpy as np
+
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        for at in range(0, len(new), 256):
+            part = new[at : at + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else ids
+            if len(mark) != 1 or len(cut) != len(part) - 1:
+                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    self.known[w] = np.array(e.ids, "<u4").tobytes()
+                continue
+            raw, cut = ids.tobytes(), (4 * cut).tolist()
+            for w, x, y in zip(part, [0, *(c + 4 for c in cut)], [*cut, len(raw)], strict=True):
+                self.known[w] = raw[x:y]
 
 
 _ENCODERS: dict[str, Encoder] = {}

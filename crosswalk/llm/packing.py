@@ -27,7 +27,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_co
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in blocks(batches):
             out: list[tuple] = []
-            for doc, x in zip(batch.column("doc_id").to_pylist(), enc(batch.column("text").to_pylist()), strict=True):
+            for doc, x in zip(batch.column("doc_id").to_pylist(), enc(batch.column("text")), strict=True):
                 x += end
                 for k, at in enumerate(range(0, len(x), 4 * capacity)):
                     part = x[at : at + 4 * capacity]

@@ -276,7 +276,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
             return out
 
         for batch in blocks(batches):
-            encoded = enc(batch.column("text").to_pylist())
+            encoded = enc(batch.column("text"))
             for i, x in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 if ids and total >= shard_ids:
                     yield flush()

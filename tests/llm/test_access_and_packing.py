@@ -146,3 +146,15 @@ def test_groups_are_packed_together_in_the_end(spark):
     one = {r["sequence_id"] for r in packing.pack_pieces(pieces, 100).collect()}
     assert len(one) <= len(used) <= 1.03 * len(one)
     assert packing.pack_pieces(pieces.limit(0), 100).count() == 0
+
+
+def test_ids_are_those_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(tokenizer_path()), random.Random(2)
+    words = ["~", "a~b", "~~", "it's", "x\x0by", "é", "é", "̈", " ", "naïve", "1234", "!!", "\U0001f600", "﻿", "don't~", "\xa0", "Über"]
+    texts = [None, "", " ", "\n\t\r", "~", *(rng.choice(("", " ")).join(rng.choice(words) + rng.choice((" ", "\n", "\t", "  ", "\r\n", "\x0c")) for _ in range(rng.randrange(1, 400))) for _ in range(60))]
+    enc = common.Encoder(tokenizer_path(), keep=40)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert enc([]) == []
