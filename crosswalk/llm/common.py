@@ -13,7 +13,7 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -255,6 +255,16 @@ def range_of(starts, value):
     return F.greatest(at - 1, F.lit(0))
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Rows numbered from 1 in an order: sorted in ranges and written, counted by range, and moved up by the rows of the ranges before: a row a range."""
+    at = written(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33)
+    held = at.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = held.select("__part", before.alias("__before"))
+    return at.withColumn("__part", part).join(first, "__part").withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__at", "__part", "__before")
+
+
 def parts_for(df: DataFrame, rows_each: int = 6000, n: int | None = None) -> int:
     """How many partitions hold about ``rows_each`` rows each."""
     n = df.count() if n is None else n

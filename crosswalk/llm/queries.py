@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosswalk.llm import katz, mixing, quality, toxicity, transport
+from crosswalk.llm import centroids, importance, katz, language, mixing, quality, toxicity, transport
 from crosswalk.llm.boilerplate import main_text
 from crosswalk.llm.common import table, train_rows, written
 from crosswalk.llm.fingerprint import LEAST, fingerprints
@@ -69,6 +69,20 @@ def op10_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path, usable = table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), train_rows("doc_id", 3, 1)
+    return language.identify(docs, language.fit(docs, usable, path), path).select("doc_id", (~usable).alias("held_out"), "lang_pred", "score")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return centroids.clustered(vectors, centroids.fit(vectors))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_katz": op1_katz,
     "op2_fingerprint": op2_fingerprint,
@@ -80,5 +94,8 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
     "op10_token_index": op10_token_index,
+    "op11_language": op11_language,
+    "op12_centroids": op12_centroids,
+    "op13_importance": op13_importance,
 }
-ORACLE: dict[str, str] = {"op5_mixing": mixing.sql()}
+ORACLE: dict[str, str] = {"op5_mixing": mixing.sql(), "op12_centroids": centroids.sql(), "op13_importance": importance.sql()}
