@@ -1,18 +1,19 @@
-"""Toxicity by compression distance: windows are compressed with a dictionary of toxic and one of ordinary text.
-
-Both dictionaries are trained by zstandard on raw windows of the labelled texts, letters as they stand (A-Z lower-cased). The
-toxic dictionary lies before the ordinary one in the toxic compressor, so a window gets shorter there only by what ordinary text
-lacks. A part of the toxic dictionary stays if it shortens windows of other toxic documents than it was trained on far more often than
-windows of ordinary ones; what toxic documents share with all others goes. A window's distance is its length under the ordinary dictionary less that
-under both, in bytes, both without frame; distances have a log odds each, learned with the labels, and a document's evidence is their sum over
-its overlapping windows by the root of their number. Isotonic regression turns evidence into a probability.
+"""Toxicity by compression distance: windows are compressed with dictionaries of toxic and of ordinary text.
+
+Labelled texts are first put in groups by which raw dictionary shortens them most, so that texts of one language come together without any
+column of theirs being looked at. In each group zstandard trains an ordinary dictionary, small enough to hold only what is frequent, and windows of toxic
+documents, letters as they stand (A-Z lower-cased), are cut to the pieces that shorten windows of other toxic documents far more often than windows of ordinary ones
+beside that dictionary. The pieces of all groups are the toxic dictionary, which lies before a group's ordinary one in its toxic compressor, so a window gets shorter there only by
+what tells. A text goes to the group that shortens it most. A window's distance is its length under the ordinary dictionary less that under both, in bytes, both without frame; distances
+have a log odds each in every group, learned with the labels, and a document's evidence is their sum over its overlapping windows by the root of their number. Isotonic
+regression turns evidence into a probability.
 """
 
 from __future__ import annotations
 
 import math
 import random
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,9 +27,15 @@ from crosswalk.llm.common import blocks, claim, column, used_up, with_row, words
 
 #: words of a window, words from one to the next, and bytes from which a word is cut
 WORDS, STEP, LONGEST = 8, 5, 64
-ORDINARY_BYTES, TOXIC_BYTES, NEAR_BYTES = 1 << 18, 1 << 14, 1 << 15
-#: bytes of a part of the toxic dictionary, of the pieces that parts are cut to, from one piece to the next, and the votes that keep a byte
-PART, PIECE, MOVE, VOTES = 64, 16, 2, 4
+#: bytes of a group's ordinary dictionary, which also tells groups apart
+NEAR_BYTES = 1 << 13
+#: bytes of the pieces that toxic windows are cut to
+PIECES = (6, 8, 10, 14)
+#: a piece tells if it shortens windows of so many toxic documents, of so many times the share of ordinary ones, and the shares differ by so many
+#: deviations; groups so alike in cost become one
+LEAST_DOCS, APART, SURE, ALIKE = 3, 4, 4.5, 1.2
+#: one in so many windows of a text, from all of it, chooses its group; rows of either class that a group needs for odds of its own
+SPREAD, ENOUGH = 12, 10
 #: distances are clipped to these for their log odds
 LOW, HIGH = -3, 15
 
@@ -67,65 +74,139 @@ def _trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-class Telling:
-    """Which parts of a dictionary shorten windows of toxic documents more than those of ordinary ones, beside the ordinary dictionary's end.
+def group(docs: list[list[bytes]], groups: int = 8, rounds: int = 3, first: int = 800, each: int = 12, seed: int = 3) -> list[int]:
+    """A group for every document, given by its windows: those that one dictionary shortens alike, such as those of one language.
 
-    Documents count, not windows, so that one that repeats itself has one vote. ``least``: bytes that a shorter window must save.
+    Dictionaries are moved as means are: a document goes to the one that shortens it most, then each is trained anew on its
+    documents. They are moved on ``first`` documents, ``each`` windows of a document drawn from all of it; all documents are then dealt to them. Groups whose
+    dictionaries serve each other's documents nearly as well (``ALIKE``) become one; those of fewer than twice ``ENOUGH`` documents end, and theirs go to others.
+    """
+    rng = random.Random(seed)
+    some = [rng.sample(ws, min(len(ws), each)) for ws in docs]
+    sizes = [max(1, sum(map(len, s))) for s in some]
+    moved = [i for i in rng.sample(range(len(docs)), len(docs)) if some[i]][:first]
+    if not moved:
+        return [0] * len(docs)
+
+    def costs(raw: bytes, of: list[int]) -> list[float]:
+        f = _compressor(raw)
+        return [sum(len(f(w)) for w in some[i]) / sizes[i] for i in of]
+
+    raws = [b"".join(some[moved[0]])]
+    cost = [costs(raws[0], moved)]
+    while len(raws) < min(groups, len(moved)):
+        # the next dictionary begins with a document that those so far shorten badly, but not with the oddest of all
+        order = sorted(range(len(moved)), key=lambda j: min(c[j] for c in cost))
+        raws.append(b"".join(some[moved[order[int(len(order) * 0.9)]]]))
+        cost.append(costs(raws[-1], moved))
+    for _ in range(rounds):
+        own = [min(range(len(cost)), key=lambda k: cost[k][j]) for j in range(len(moved))]
+        filled = [[w for j, o in enumerate(own) if o == k for w in some[moved[j]]] for k in range(len(cost))]
+        raws = [_trained(rng.sample(ws, len(ws)), NEAR_BYTES) for ws in filled if ws]
+        cost = [costs(r, moved) for r in raws]
+    own = [min(range(len(cost)), key=lambda k: cost[k][j]) for j in range(len(moved))]
+    into = list(range(len(raws)))
+    mean = [[sum(cost[k][j] for j in range(len(moved)) if own[j] == g) / max(1, own.count(g)) for k in range(len(raws))] for g in range(len(raws))]
+    for g in range(len(raws)):
+        for k in range(g):
+            if mean[g][k] < ALIKE * mean[g][g] and mean[k][g] < ALIKE * mean[k][k]:
+                into = [into[k] if x == into[g] else x for x in into]
+    held = Counter(into[o] for o in own)
+    kept = [k for k in range(len(raws)) if held[into[k]] >= min(2 * ENOUGH, max(held.values()))]
+    every = list(range(len(docs)))
+    cost = {k: costs(raws[k], every) for k in kept}
+    return [into[min(kept, key=lambda k: cost[k][i])] for i in every]
+
+
+def _drawn(ws: list[bytes], n: int, rng: random.Random) -> list[bytes]:
+    """At most ``n`` windows, drawn from the whole text."""
+    return ws if len(ws) <= n else rng.sample(ws, n)
+
+
+class Judges:
+    """Windows of toxic and of ordinary documents that say whether bytes tell toxic text: if they shorten windows of far more toxic documents.
+
+    Documents count, not windows, so that one that repeats itself has one vote.
     """
 
-    def __init__(self, near: bytes, toxic: list[list[bytes]], ordinary: list[list[bytes]], least: int):
-        self.near, self.least = near, least
+    def __init__(self, near: bytes, toxic: list[list[bytes]], ordinary: list[list[bytes]]):
+        self.near, self.told, self.sizes = near, b"", (max(1, len(toxic) - 1), max(1, len(ordinary)))
         plain = _compressor(near)
-        self.sides = [[(i, w, len(plain(w))) for i, ws in enumerate(docs) for w in ws] for docs in (toxic, ordinary)]
-        self.sizes = [max(1, len(docs)) for docs in (toxic, ordinary)]
-
-    def hits(self, raw: bytes, before: bool, sides: list | None = None) -> list[list]:
-        """Of both sides, the windows that ``raw`` shortens, before or after the ordinary dictionary's end."""
-        made = _compressor(raw + self.near if before else self.near + raw)
-        return [[x for x in side if x[2] - len(made(x[1])) >= self.least] for side in (sides or self.sides)]
-
-    def share(self, hits: list[list], apart: float) -> bool:
-        toxic, ordinary = (len({i for i, _, _ in side}) for side in hits)
-        return toxic >= 3 and toxic / self.sizes[0] > apart * (ordinary + 1) / self.sizes[1]
-
-
-def _parts(raw: bytes, telling: Telling, apart: float = 4) -> list[bytes]:
-    """The parts of a trained dictionary that tell toxic text, each with a few bytes of what lies beside it."""
-    some = telling.hits(raw, True)
-    cut = [raw[max(0, a - 8) : a + PART + 8] for a in range(0, len(raw), PART)]
-    return [x for x in cut if telling.share(telling.hits(x, True, some), apart)]
-
-
-def _pieces(part: bytes, telling: Telling, some: list[list], apart: float = 6) -> bytes:
-    """What is left of a part: the bytes that ``VOTES`` at least of the pieces which hold them need to tell toxic text by themselves."""
-    own = telling.hits(part, False, some)
-    votes = [0] * len(part)
-    for a in range(0, len(part) - PIECE + 1, MOVE):
-        if telling.share(telling.hits(part[a : a + PIECE], False, own), apart):
-            for k in range(a, a + PIECE):
-                votes[k] += 1
-    return bytes(c for c, n in zip(part, votes, strict=True) if n >= VOTES)
+        self.windows = [(y, i, w, len(plain(w))) for y, docs in ((1, toxic), (0, ordinary)) for i, ws in enumerate(docs) for w in ws]
+
+    def hits(self, raw: bytes, among: list) -> list:
+        """The windows that ``raw`` shortens beside the ordinary dictionary and what was told before."""
+        f = _compressor(raw + self.told + self.near)
+        return [x for x in among if len(f(x[2])) < x[3]]
+
+    def worth(self, hits: list, source: int) -> float:
+        """Share of toxic documents but the one that the bytes are from, less ``APART`` times that of ordinary ones; below 0 if the shares may differ by chance."""
+        toxic, ordinary = len({x[1] for x in hits if x[0]} - {source}), len({x[1] for x in hits if not x[0]})
+        n1, n0 = self.sizes
+        both = (toxic + ordinary) / (n1 + n0)
+        if toxic < LEAST_DOCS or toxic / n1 - ordinary / n0 < SURE * math.sqrt(both * (1 - both) * (1 / n1 + 1 / n0)):
+            return -1.0
+        return toxic / n1 - APART * (ordinary + 1) / n0
+
+    def tell(self, parts: list[tuple[int, bytes]]) -> list[bytes]:
+        """Pieces of ``parts``, each with the toxic document that it is from, that tell, the best first; each is judged beside those before it, so no two tell by the same windows."""
+        some, found = self.hits(b"".join(p for _, p in parts), self.windows), []
+        for a in range(0, len(parts), 8):
+            near = self.hits(b"".join(p for _, p in parts[a : a + 8]), some)
+            for k, (i, p) in enumerate(parts[a : a + 8], a):
+                h = self.hits(p, near)
+                if (w := self.worth(h, i)) > 0:
+                    found.append((w, -k, i, p, h))
+        found.sort()
+        out: list[bytes] = []
+        while found:
+            _, k, i, part, own = found.pop()
+            if self.told:
+                f = _compressor(self.told + self.near)
+                own = self.hits(part, [(y, i, w, len(f(w))) for y, i, w, _ in own])
+                worth = self.worth(own, i)
+                if worth <= 0:
+                    continue
+                if found and worth < found[-1][0] * 0.7:
+                    insort(found, (worth, k, i, part, own))
+                    continue
+            best, piece = 0.0, b""
+            for n in PIECES:  # a longer piece must be worth more
+                for a in range(max(1, len(part) - n + 1)):
+                    x = self.worth(self.hits(part[a : a + n], own), i)
+                    if x > best * 1.1:
+                        best, piece = x, part[a : a + n]
+            if piece:
+                self.told = piece + self.told
+                out.append(piece)
+                insort(found, (best, k, i, part, own))
+        return out
+
+
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], judged: int = 150, each: int = 40, parts: int = 1500, seed: int = 7) -> tuple[bytes, bytes]:
+    """The told pieces of toxic windows and the ordinary dictionary of one group of documents, given by their windows.
+
+    One half of the ordinary documents trains the dictionary, ``2 * judged`` of the other half judge. Of ``judged`` toxic
+    documents at most, ``parts`` windows at most are judged by the other documents. ``each`` windows of a document judge, drawn from all of it.
+    """
+    rng = random.Random(seed)
+    toxic, ordinary = rng.sample(toxic, min(len(toxic), judged)), rng.sample(ordinary, len(ordinary))
+    flat = [w for ws in ordinary[::2] for w in ws]
+    rng.shuffle(flat)
+    near = _trained(flat, NEAR_BYTES)
+    judges = [[_drawn(ws, each, rng) for ws in side] for side in (toxic, ordinary[1::2][: 2 * judged])]
+    of = [(i, w) for i, ws in enumerate(judges[0]) for w in ws]
+    return b"".join(Judges(near, *judges).tell(rng.sample(of, min(len(of), parts)))), near
 
 
 @dataclass
-class Model:
-    """Two dictionaries, the log odds of distances from ``LOW`` to ``HIGH``, and the probability of toxic text from each of ascending evidences on."""
+class Group:
+    """The ordinary dictionary of a group, the log odds of distances from ``LOW`` to ``HIGH``, and the probability of toxic text from each of ascending evidences on."""
 
-    toxic: bytes = b""
     ordinary: bytes = b""
     odds: list[float] = field(default_factory=list)
     steps: list[tuple[float, float]] = field(default_factory=list)
 
-    def __post_init__(self):
-        self._pair = None
-
-    def distances(self, text: str | None) -> list[int]:
-        """The distance of each window of a text."""
-        if self._pair is None:
-            self._pair = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
-        ordinary, both = self._pair
-        return [len(ordinary(w)) - len(both(w)) for w in windows(text)]
-
     def evidence(self, distances: list[int]) -> float:
         """The windows' log odds by the root of their number; without windows less than any other, as no words are no toxic ones."""
         if not distances or not self.odds:
@@ -137,6 +218,31 @@ class Model:
         return self.steps[max(at, 1) - 1][1] if self.steps else 0.0
 
 
+@dataclass
+class Model:
+    """The toxic dictionary and groups with an ordinary one each."""
+
+    toxic: bytes = b""
+    groups: list[Group] = field(default_factory=lambda: [Group()])
+
+    def __post_init__(self):
+        self._pairs = None
+
+    def distances(self, text: str | None) -> tuple[int, list[int]]:
+        """The group whose ordinary dictionary shortens every ``SPREAD``-th window of the text most, and the distance of each window beside it."""
+        if self._pairs is None:
+            self._pairs = [(_compressor(g.ordinary), _compressor(self.toxic + g.ordinary)) for g in self.groups]
+        ws = windows(text)
+        own = min(range(len(self._pairs)), key=lambda k: sum(len(self._pairs[k][0](w)) for w in ws[::SPREAD])) if len(self._pairs) > 1 else 0
+        ordinary, both = self._pairs[own]
+        return own, [len(ordinary(w)) - len(both(w)) for w in ws]
+
+    def judge(self, text: str | None) -> tuple[int, float]:
+        """The largest distance of a window, 0 without any, and the probability that the text is toxic."""
+        own, d = self.distances(text)
+        return max(d, default=0), self.groups[own].probability(self.groups[own].evidence(d))
+
+
 def log_odds(toxic: Counter, ordinary: Counter) -> list[float]:
     """Log odds of each clipped distance, with half a window added to each; never falling above 0, as saving more can't speak for ordinary text."""
     n1, n0 = sum(toxic.values()) + 1, sum(ordinary.values()) + 1
@@ -146,13 +252,13 @@ def log_odds(toxic: Counter, ordinary: Counter) -> list[float]:
     return out
 
 
-def _steps(points: list[tuple[float, int]]) -> list[tuple[float, float]]:
-    """Isotonic regression of the label on the evidence: blocks of rising means, each shrunk by half a row of either class."""
-    by: dict[float, list[int]] = {}
+def _steps(points: list[tuple[float, int]], times: tuple[float, float] = (1, 1)) -> list[tuple[float, float]]:
+    """Isotonic regression of the label on the evidence: blocks of rising means, each shrunk by half a row of either class. ``times``: how many rows an ordinary and a toxic one stand for."""
+    by: dict[float, list[float]] = {}
     for d, y in points:
         s = by.setdefault(d, [0, 0])
-        s[0] += y
-        s[1] += 1
+        s[0] += y * times[1]
+        s[1] += times[y]
     done: list[list[float]] = []
     for d in sorted(by):
         done.append([d, *by[d]])
@@ -163,51 +269,44 @@ def _steps(points: list[tuple[float, int]]) -> list[tuple[float, float]]:
     return [(float(d), (y + 0.5) / (n + 1)) for d, y, n in done]
 
 
-def fit_texts(rows: list[tuple[str | None, int]], judged: int = 700, each: int = 80, seed: int = 7) -> Model:
-    """Fits a model to (text, toxic) rows; a null text is empty.
+def _sides(rows: list[tuple[str | None, int]]) -> tuple[list, list]:
+    """Windows of the toxic and of the ordinary rows, in the order of a seeded draw that doesn't look at how rows came."""
+    return tuple([windows(x, WORDS) for x, y in rows if int(y) == side] for side in (1, 0))
+
+
+def calibrated(rows: list[tuple[str | None, int]], toxic: bytes, ordinary: list[bytes], times: tuple[float, float] = (1, 1)) -> Model:
+    """The model of these dictionaries, with log odds and probabilities of each group's ``rows``, or of all where a group has fewer than ``ENOUGH`` of either class.
 
-    Each half of the toxic documents gives a dictionary whose parts the other half judges, so that a passage that one document
-    repeats isn't learned. ``judged`` documents of either class, with ``each`` windows each at most, judge the parts; the dictionaries, log odds and
-    probabilities are of all rows. Without rows of both classes, every text gets the share of toxic rows (0 without rows).
+    ``times``: how many labelled rows an ordinary and a toxic one of ``rows`` stand for, where one class is drawn more thinly.
     """
-    n1 = sum(int(y) for _, y in rows)
-    if not n1 or n1 == len(rows):
-        return Model(steps=[(0.0, n1 / max(1, len(rows)))])
-    rng = random.Random(seed)
-    rows = rng.sample(rows, len(rows))
-    toxic, ordinary = ([windows(x, WORDS) for x, y in rows if int(y) == side] for side in (1, 0))
-    flat = [w for ws in ordinary for w in ws]
-    rng.shuffle(flat)
-    known, told, times = _trained(flat, ORDINARY_BYTES), 0, 1
-    if len(known) < ORDINARY_BYTES and len(ordinary) > 1:  # too little text to train as much on: raw windows of every other document fill it up, and only the rest is judged by
-        told, times = len(ordinary) // 2, 2
-        known = b"".join(w for ws in ordinary[:told] for w in ws)[-(ORDINARY_BYTES - len(known)) :] + known
-    near, few = known[-NEAR_BYTES:], [ws[:each] for ws in ordinary[told:]]
-    parts, whole = [], b""
-    for half in (0, 1):
-        raw = _trained([w for ws in toxic[half::2] for w in ws], TOXIC_BYTES)
-        whole += raw
-        judges = [ws[:each] for ws in toxic[1 - half :: 2][:judged]], few[half * judged : (half + 1) * judged] or few[:judged]
-        # what the whole ordinary dictionary explains needs no toxic one
-        plain, both = _compressor(known), _compressor(raw + known)
-        apart = [[[w for w in ws if len(both(w)) < len(plain(w))] for ws in side] for side in judges]
-        parts += _parts(raw, Telling(near, *apart, least=2))
-    kept = b""
-    if parts:
-        telling = Telling(near, [ws[:each] for ws in toxic[:judged]], few[:judged], least=3)
-        some = telling.hits(b"".join(parts), False)
-        kept = b"".join(_pieces(p, telling, some) for p in parts)
-    model = Model(kept or b"".join(parts) or whole[-TOXIC_BYTES:], known)
-    judged_by = [x for x, y in rows if int(y)], [x for x, y in rows if not int(y)][told:]
-    found = [[model.distances(x) for x in side] for side in judged_by]
-    counts = [Counter(min(max(v, LOW), HIGH) for d in side for v in d) for side in found]
-    model.odds = log_odds(*counts)
-    model.steps = _steps([(model.evidence(d), 1) for d in found[0]] + [(model.evidence(d), 0) for d in found[1] for _ in range(times)])
+    model = Model(toxic, [Group(x) for x in ordinary])
+    found = [(*model.distances(x), int(y)) for x, y in rows]
+    for k, g in enumerate(model.groups):
+        own = [(d, y) for o, d, y in found if o == k]
+        if min(sum(y for _, y in own), sum(not y for _, y in own)) < ENOUGH:
+            own = [(d, y) for _, d, y in found]
+        g.odds = log_odds(*[Counter(min(max(v, LOW), HIGH) for d, y in own if y == side for v in d) for side in (1, 0)])
+        g.steps = _steps([(g.evidence(d), y) for d, y in own], times)
     return model
 
 
+def one_class(rows: list[int]) -> Model | None:
+    """Without rows of both classes, every text gets the share of toxic rows (0 without rows)."""
+    n1 = sum(map(int, rows))
+    return Model(groups=[Group(steps=[(0.0, n1 / max(1, len(rows)))])]) if not n1 or n1 == len(rows) else None
+
+
+def fit_texts(rows: list[tuple[str | None, int]]) -> Model:
+    """Fits a model to (text, toxic) rows in this process, as :func:`fit` does in tasks; a null text is empty."""
+    if model := one_class([y for _, y in rows]):
+        return model
+    of = group([windows(x, WORDS) for x, _ in rows])
+    pairs = [dictionaries(*_sides([r for r, o in zip(rows, of, strict=True) if o == g])) for g in sorted(set(of))]
+    return calibrated(rows, b"".join(t for t, _ in pairs), [n for _, n in pairs])
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 4000) -> Model:
-    """Fits on about ``sample`` labelled rows of either class at most, picked by a hash of their id, in one task.
+    """Fits on about ``sample`` labelled rows of either class at most, picked by a hash of their id: groups and calibration in one task each, the groups' dictionaries in a task for each group.
 
     ``usable``: a condition on ``id_col``; other rows are not looked at. Of several labels of a document, the highest counts; null ones
     don't, nor do null ids. Rows that share an id are rows of their own with one label. Other columns of either table are not read, whatever
@@ -218,19 +317,38 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     part = F.when(F.col("y") == 1, sample / max(sample, n.get(1, 0))).otherwise(sample / max(sample, n.get(0, 0)))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20))
+    times = tuple(max(1.0, n.get(y, 0) / sample) for y in (0, 1))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # the picked ids number about twice ``sample``, whatever the size of the tables
     rows = written(texts.join(F.broadcast(picked), "doc_id"), "toxic-sample")
+    if model := one_class([r["y"] for r in rows.select("y").collect()]):
+        used_up(rows)
+        return model
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        claim("toxic")
+        pdf = pdf.sort_values(["doc_id", "text"])
+        return pdf[["doc_id", "text", "y"]].assign(of=group([windows(x, WORDS) for x in pdf["text"]]))
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        claim("toxic")
+        pdf = pdf.sort_values(["doc_id", "text"])
+        toxic, ordinary = dictionaries(*_sides(list(zip(pdf["text"], pdf["y"], strict=True))))
+        return pd.DataFrame({"of": pdf["of"].iloc[:1].astype("int32"), "toxic": [toxic], "ordinary": [ordinary]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def calibrate(pdf: pd.DataFrame) -> pd.DataFrame:
         claim("toxic")
         pdf = pdf.sort_values(["doc_id", "text"])
-        m = fit_texts(list(zip(pdf["text"], pdf["y"], strict=True)))
-        return pd.DataFrame({"toxic": [m.toxic], "ordinary": [m.ordinary], "odds": [m.odds], "steps": [[{"e": e, "p": p} for e, p in m.steps]]})
+        m = calibrated(list(zip(pdf["text"], pdf["y"], strict=True)), toxic, ordinary, times)
+        return pd.DataFrame({"k": range(len(m.groups)), "odds": [g.odds for g in m.groups], "steps": [[{"e": e, "p": p} for e, p in g.steps] for g in m.groups]})
 
-    got = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "toxic binary, ordinary binary, odds array<double>, steps array<struct<e double, p double>>").collect()
-    used_up(rows)
-    return Model(bytes(got[0]["toxic"]), bytes(got[0]["ordinary"]), list(got[0]["odds"]), [(x["e"], x["p"]) for x in got[0]["steps"]]) if got else Model()
+    once = rows.withColumn("one", F.lit(1))
+    dealt = written(once.groupBy("one").applyInPandas(deal, "doc_id long, text string, y int, of int"), "toxic-groups")
+    pairs = sorted(dealt.groupBy("of").applyInPandas(learn, "of int, toxic binary, ordinary binary").collect())
+    toxic, ordinary = b"".join(bytes(r["toxic"]) for r in pairs), [bytes(r["ordinary"]) for r in pairs]
+    got = once.groupBy("one").applyInPandas(calibrate, "k int, odds array<double>, steps array<struct<e double, p double>>").orderBy("k").collect()
+    used_up(rows, dealt)
+    return Model(toxic, [Group(o, list(r["odds"]), [(x["e"], x["p"]) for x in r["steps"]]) for o, r in zip(ordinary, got, strict=True)])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -241,19 +359,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-    raw = (model.toxic, model.ordinary, model.odds, model.steps)
+    toxic, groups = model.toxic, model.groups
     cols, text = with_row(docs, id_col, text_col, carry)
     schema = StructType([f for f in cols.schema.fields if f.name != "__text"]).add("distance", IntegerType()).add("score", DoubleType()).add("predicted", IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxic")
-        m = Model(*raw)
+        m = Model(toxic, groups)
         for batch in blocks(batches, text):
-            d, p = [], []
-            for x in column(batch, text).to_pylist():
-                own = m.distances(x)
-                d.append(max(own, default=0))
-                p.append(m.probability(m.evidence(own)))
+            d, p = zip(*map(m.judge, column(batch, text).to_pylist()), strict=True)
             rest = batch if carry else batch.drop_columns(["__text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(d, pa.int32()), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32())], names=[*rest.schema.names, "distance", "score", "predicted"])
 

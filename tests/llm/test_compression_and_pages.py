@@ -38,7 +38,7 @@ def test_distances_and_calibration_against_plain_versions():
 
     rows = rows_of()
     m = toxicity.fit_texts([(x, y) for _, x, y in rows])
-    assert len(m.ordinary) > 1000 and m.toxic and set(m.toxic) <= set(range(256))
+    assert all(len(g.ordinary) > 1000 for g in m.groups) and m.toxic and set(m.toxic) <= set(range(256))
 
     def length(w, raw):  # a compressor made anew for each window
         log = max(10, (len(raw) + 4096).bit_length())
@@ -48,7 +48,11 @@ def test_distances_and_calibration_against_plain_versions():
         return len(z.ZstdCompressor(dict_data=d, compression_params=p).compress(w))
 
     for _, x, _ in rows[:12]:
-        assert m.distances(x) == [length(w, m.ordinary) - length(w, m.toxic + m.ordinary) for w in toxicity.windows(x)]
+        own, d = m.distances(x)
+        g = m.groups[own]
+        assert d == [length(w, g.ordinary) - length(w, m.toxic + g.ordinary) for w in toxicity.windows(x)]
+        costs = [sum(length(w, o.ordinary) for w in toxicity.windows(x)[:: toxicity.SPREAD]) for o in m.groups]
+        assert own == costs.index(min(costs)) and m.judge(x) == (max(d), g.probability(g.evidence(d)))
     rng = random.Random(1)
     counts = [collections.Counter(rng.randrange(toxicity.LOW, toxicity.HIGH) // (2 - y) for _ in range(500)) for y in (1, 0)]
     odds = toxicity.log_odds(*counts)
@@ -56,19 +60,22 @@ def test_distances_and_calibration_against_plain_versions():
     assert odds[: 1 - toxicity.LOW] == pytest.approx(plain[: 1 - toxicity.LOW])
     assert odds[1 - toxicity.LOW :] == pytest.approx([max(plain[-toxicity.LOW : k + 1]) for k in range(1 - toxicity.LOW, len(plain))])
     points = sorted((rng.randrange(30) / 4, int(rng.random() < 0.1 + 0.03 * k)) for k in range(25) for _ in range(6))
-    model, e, y = toxicity.Model(steps=toxicity._steps(points)), np.array([p[0] for p in points]), np.array([p[1] for p in points], float)
+    model, e, y = toxicity.Group(steps=toxicity._steps(points)), np.array([p[0] for p in points]), np.array([p[1] for p in points], float)
     at = np.unique(e)
     for x in at:  # isotonic regression is the largest of the least means over intervals; its blocks are shrunk by half a row of either class
         want = max(min(y[(e >= a) & (e <= b)].mean() for b in at[at >= x]) for a in at[at <= x])
         same = [i for i, q in enumerate(e) if model.probability(q) == model.probability(x)]
         assert y[same].mean() == pytest.approx(want) and model.probability(x) == pytest.approx((y[same].sum() + 0.5) / (len(same) + 1))
-    assert m.evidence([]) == -math.inf and m.evidence([0, 0, 99]) == pytest.approx((2 * m.odds[-toxicity.LOW] + m.odds[-1]) / math.sqrt(3))
+    g = m.groups[0]
+    assert g.evidence([]) == -math.inf and g.evidence([0, 0, 99]) == pytest.approx((2 * g.odds[-toxicity.LOW] + g.odds[-1]) / math.sqrt(3))
+    # ordinary rows that stand for three each count as if they were there three times
+    assert toxicity._steps([(1.0, 0), (1.0, 1), (2.0, 1)], (3, 1)) == toxicity._steps([(1.0, 0)] * 3 + [(1.0, 1), (2.0, 1)])
 
 
 def test_letters_decide_not_a_list_of_words():
     rows = rows_of(900)
     m = toxicity.fit_texts([(x, y) for _, x, y in rows if _ % 5])
-    score = lambda x: m.probability(m.evidence(m.distances(x)))
+    score = lambda x: m.judge(x)[1]
     held = [(score(x), y) for i, x, y in rows if i % 5 == 0]
     assert sum((p >= 0.5) == y for p, y in held) / len(held) > 0.95
     plain = "thanre erthon anreth ononer thereon anther rethan eronth"
@@ -76,6 +83,58 @@ def test_letters_decide_not_a_list_of_words():
     assert score(plain) < 0.5 < score(plain.replace("thereon", "undisgustingly rottenness"))
 
 
+def two_languages(n=1400, seed=11):
+    """Toxic text of the first language has insults; that of the second only begins words with syllables that ordinary words of it seldom begin with."""
+    rng = random.Random(seed)
+    sides = [("an", "er", "on", "th", "re", "ing", "ed"), ("schl", "ung", "keit", "lich", "ach", "ver", "tz", "pf")]
+    out = []
+    for i in range(n):
+        lang = i % 2
+        word = lambda: "".join(rng.choice(sides[lang]) for _ in range(rng.randrange(1, 5)))  # noqa: E731, B023
+        ws = [word() for _ in range(rng.randrange(60, 200))]
+        ws = [w for w in ws if not w.startswith("achlich")]
+        y = int(i % 7 == 0)
+        for _ in range(y * max(3, len(ws) // 20)):
+            ws[rng.randrange(len(ws))] = rng.choice(("vile", "scum,", "Rotten")) if not lang else "achlich" + word()
+        out.append((i, " ".join(ws), y, lang))
+    return out
+
+
+def test_both_languages_are_learned_without_being_named():
+    rows = two_languages()
+    groups = toxicity.group([toxicity.windows(x, 8) for _, x, _, _ in rows])
+    assert len({(g, lang) for g, (_, _, _, lang) in zip(groups, rows, strict=True)}) == len(set(groups))  # no group holds both
+    m = toxicity.fit_texts([(x, y) for i, x, y, _ in rows if i % 5])
+    held = [(int(m.judge(x)[1] >= 0.5), y, lang) for i, x, y, lang in rows if i % 5 == 0]
+    for lang in (0, 1):
+        found = [p for p, y, own in held if y and own == lang]
+        assert sum(found) / len(found) >= 0.8
+    assert sum(p for p, y, _ in held if not y) <= 0.01 * sum(not y for _, y, _ in held)
+
+
+def test_pieces_tell_beside_what_was_told():
+    rows = two_languages(420)
+    toxic, ordinary = ([toxicity.windows(x, 8)[:20] for _, x, y, lang in rows if y == side and not lang] for side in (1, 0))
+    near = b" ".join(w for ws in ordinary[:20] for w in ws)[:4000]
+    j = toxicity.Judges(near, toxic, ordinary[20:])
+    for raw in (b" scum,", b" rotten ", b"aner", b" zzz "):
+        f, g = toxicity._compressor(near), toxicity._compressor(raw + near)
+        want = [[{i for w in ws if len(g(w)) < len(f(w))} for i, ws in enumerate(docs)] for docs in (toxic, ordinary[20:])]
+        a, b = (len(set().union(*s)) for s in want)
+        hits = j.hits(raw, j.windows)
+        assert (len({x[1] for x in hits if x[0]}), len({x[1] for x in hits if not x[0]})) == (a, b)
+        n1, n0 = len(toxic) - 1, len(ordinary) - 20
+        p = (a + b) / (n1 + n0)
+        sure = a >= 3 and a / n1 - b / n0 >= toxicity.SURE * math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+        assert j.worth(hits, -1) == pytest.approx(a / n1 - toxicity.APART * (b + 1) / n0 if sure else -1)
+    told = j.tell([(i, w) for i, ws in enumerate(toxic) for w in ws])
+    # each of the three insults is told, and told pieces shorten toxic documents only
+    assert all(any(s in p for p in told) for s in (b"vil", b"scu", b"otte")) and len(told) < 60
+    after = toxicity.Judges(near, toxic, ordinary[20:])
+    hits = after.hits(b"".join(told), after.windows)
+    assert len({x[1] for x in hits if x[0]}) > 0.8 * len(toxic) and len({x[1] for x in hits if not x[0]}) < 0.2 * len(ordinary)
+
+
 def test_very_long_texts_meet_a_trained_model(spark):
     rows = rows_of()
     long_ = " ".join(x for _, x, y in rows if not y) * 30
