@@ -142,3 +142,16 @@ def duration_text(seconds: Column) -> Column:
 
 def date_transform(xsd: Column) -> Column:
     return F.when(F.replace(xsd, F.lit(XSD), F.lit("")).isin("date", "dateTime"), F.lit("xsd:date-to-iso8601"))
+
+
+def canonical_json(text: Column) -> Column:
+    """A JSON text with the keys of every object in order and no white space between; null if it is no JSON. Numbers stay as they are written but for zeros that say nothing."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def document_digest(text: Column, without: tuple[str, ...] = ()) -> Column:
+    """SHA-256 of an object's canonical text without some of its own keys, so neither the order of keys nor these change it; null if it is no object."""
+    members = F.from_json(text, "map<string, variant>")
+    kept = F.map_filter(members, lambda k, v: ~k.isin(*without)) if without else members
+    parts = F.transform(F.array_sort(F.map_keys(kept)), lambda k: F.concat(F.to_json(F.struct(k.alias("k"))), F.coalesce(F.to_json(F.element_at(kept, k)), F.lit("null"))))
+    return F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.sha2(F.array_join(parts, ","), 256))

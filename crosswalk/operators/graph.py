@@ -145,7 +145,9 @@ def blank_names(triples: DataFrame) -> DataFrame:
     out = triples.where("s_kind = 'bnode'").select(F.col("s").alias("node"), F.concat_ws(" ", F.lit(">"), "p", hide("o", "o_kind")).alias("t"))
     into = triples.where("o_kind = 'bnode'").select(F.col("o").alias("node"), F.concat_ws(" ", F.lit("<"), hide("s", "s_kind"), "p").alias("t"))
     digest = out.unionByName(into).groupBy("node").agg(F.sha2(F.to_json(F.sort_array(F.collect_list("t"))), 256).alias("d"))
-    n = F.row_number().over(Window.partitionBy("d").orderBy("node"))
+    # nodes are numbered as they were made: by the number at the end of their name, those without one first
+    made = F.expr(r"coalesce(try_cast(nullif(regexp_extract(node, '(\\d+)$', 1), '') as decimal(38, 0)), -1)")
+    n = F.row_number().over(Window.partitionBy("d").orderBy(made, "node"))
     return digest.select("node", F.concat(F.lit("b"), F.substring("d", 1, 16), F.lit("_"), n.cast("string")).alias("name"))
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosswalk.functions.values import UNDECIDED
-from crosswalk.operators.lineage import sent
+
+
+#: different lengths of names that details are cut by
+MOST_LENGTHS = 1000
 
 
 def finding(df: DataFrame, severity: str, code: str, key: Column, message: Column) -> DataFrame:
@@ -108,8 +111,17 @@ def shapes(instances: DataFrame, triples: DataFrame, constraints: DataFrame) ->
 
 
 def routing(checks: DataFrame, classes: DataFrame, advice: dict[str, str]) -> DataFrame:
-    """Failed checks (check, status, details) with each concept that their details name, and what to do."""
-    failed = checks.where("status <> 'pass'")
+    """Failed checks (check, status, details) with each concept that their details name, and what to do.
+
+    Details are cut at each place by the lengths that concepts have, and the pieces joined with concepts, so nothing is compared with everything.
+    Names of over ``MOST_LENGTHS`` different lengths are refused.
+    """
+    lengths = [r["n"] for r in classes.select(F.length("concept").alias("n")).where("n is not null").distinct().limit(MOST_LENGTHS + 1).collect()]
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"names of more than {MOST_LENGTHS} lengths")
+    failed = checks.where("status <> 'pass' and details is not null").withColumn("__row", F.monotonically_increasing_id())
+    cut = failed.withColumn("__n", F.explode(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"))).where(F.col("__n") <= F.length("details"))
+    cut = cut.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length("details") - F.col("__n") + 1))).select("__row", "check", F.col("details").substr(F.col("__at"), F.col("__n")).alias("concept"))
     pairs = [F.lit(x) for kv in advice.items() for x in kv]
     to = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("check")), F.lit("review")) if pairs else F.lit("review")
-    return failed.join(sent(classes), failed["details"].contains(classes["concept"])).select("check", "concept", to.alias("recommendation"))
+    return cut.distinct().join(classes.select("concept"), "concept").select("check", "concept", to.alias("recommendation"))

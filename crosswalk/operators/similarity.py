@@ -43,6 +43,22 @@ def keyed_overlap(members: DataFrame) -> DataFrame:
     return each.groupBy("a", "b").agg(F.round(F.avg(j), 4).alias("average_jaccard"), F.count("*").alias("shared_keys"))
 
 
+def scheme_overlap(members: DataFrame) -> DataFrame:
+    """Jaccard of the code lists of every two vocabularies, rounded to 4 as it enters a composite, and how many they share, from rows (vocab, key, member)."""
+    return pairs(members.select("vocab", F.col("key").alias("member")).distinct()).select("a", "b", F.round("jaccard", 4).alias("scheme_jaccard"), F.col("shared").alias("shared_schemes"))
+
+
+def value_overlap(members: DataFrame) -> DataFrame:
+    """For each code list that two vocabularies share: the Jaccard of its values, rounded to 4, and how many are shared and in each, from rows (vocab, key, member); a null member is a list without values."""
+    m = members.select("vocab", "key", "member").distinct()
+    n = m.groupBy("vocab", "key").agg(F.count("member").alias("n"))
+    l, r = n.select(F.col("vocab").alias("a"), "key", F.col("n").alias("a_values")), n.select(F.col("vocab").alias("b"), "key", F.col("n").alias("b_values"))
+    both = m.select(F.col("vocab").alias("a"), "key", "member").join(m.select(F.col("vocab").alias("b"), "key", "member"), ["key", "member"]).where("a < b").groupBy("a", "b", "key").agg(F.count("*").alias("shared_values"))
+    each = l.join(r, "key").where("a < b").join(both, ["a", "b", "key"], "left").withColumn("shared_values", F.coalesce("shared_values", F.lit(0)))
+    all_ = F.col("a_values") + F.col("b_values") - F.col("shared_values")
+    return each.select("a", "b", "key", F.when(all_ == 0, 0.0).otherwise(F.round(F.col("shared_values") / all_, 4)).alias("value_jaccard"), "shared_values", "a_values", "b_values")
+
+
 def composite(parts: dict[str, DataFrame], weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """Weighted sum of scores (a, b, score) by name; a missing pair counts 0."""
     out = None

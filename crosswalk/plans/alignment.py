@@ -205,13 +205,21 @@ mp AS (SELECT DISTINCT vocab, n_name AS key, s || p || m AS member FROM w),
 k AS (SELECT vocab, key, count(*) AS n FROM mp GROUP BY ALL), x AS (SELECT l.vocab AS a, r.vocab AS b, key, count(*) AS s FROM mp l JOIN mp r USING (key, member) WHERE l.vocab < r.vocab GROUP BY ALL),
 e AS (SELECT l.vocab AS a, r.vocab AS b, l.n AS na, r.n AS nb, coalesce(s, 0) AS s FROM k l JOIN k r ON l.key = r.key AND l.vocab < r.vocab LEFT JOIN x ON x.a = l.vocab AND x.b = r.vocab AND x.key = l.key),
 pt AS ({_PAIRED.format(m="mt")}), pn AS ({_PAIRED.format(m="mn")}), pc AS ({_PAIRED.format(m="mc")}), pp AS (SELECT a, b, round(avg(s::DOUBLE / (na + nb - s)), 4) AS j FROM e GROUP BY ALL)
-SELECT a, b, round(0.4 * coalesce(pt.j, 0) + 0.3 * coalesce(pp.j, 0) + 0.1 * coalesce(pn.j, 0) + 0.2 * coalesce(pc.j, 0), 4) AS composite FROM pt FULL JOIN pp USING (a, b) FULL JOIN pn USING (a, b) FULL JOIN pc USING (a, b)""")
+SELECT a, b, round(0.4 * coalesce(pt.j, 0) + 0.3 * coalesce(pp.j, 0) + 0.1 * coalesce(pn.j, 0) + 0.2 * round(coalesce(pc.j, 0), 4), 4) AS composite FROM pt FULL JOIN pp USING (a, b) FULL JOIN pn USING (a, b) FULL JOIN pc USING (a, b)""")
 def overlap_composite(spark, d):
     w = _segments(spark, d)
     scored = lambda df: similarity.pairs(df).select("a", "b", F.col("jaccard").alias("score"))
     props = w.select("vocab", F.col("n_name").alias("key"), F.concat("s", "p", F.col("m").cast("string")).alias("member"))
     per_type = similarity.keyed_overlap(props).select("a", "b", F.col("average_jaccard").alias("score"))
-    return similarity.composite({"type": scored(_members(w)), "property": per_type, "namespace": scored(w.select("vocab", F.col("n_name").alias("member"))), "codelist": scored(w.select("vocab", F.concat("s", "p").alias("member")))})
+    return similarity.composite({"type": scored(_members(w)), "property": per_type, "namespace": scored(w.select("vocab", F.col("n_name").alias("member"))), "codelist": similarity.scheme_overlap(w.select("vocab", F.concat("s", "p").alias("key"))).select("a", "b", F.col("scheme_jaccard").alias("score"))})
+
+
+@query(f"""WITH {_WHOLE}, mp AS (SELECT DISTINCT vocab, n_name AS key, s || p || m AS member FROM w), k AS (SELECT vocab, key, count(*) AS n FROM mp GROUP BY ALL),
+x AS (SELECT l.vocab AS a, r.vocab AS b, key, count(*) AS s FROM mp l JOIN mp r USING (key, member) WHERE l.vocab < r.vocab GROUP BY ALL)
+SELECT l.vocab AS a, r.vocab AS b, l.key, round(coalesce(s, 0)::DOUBLE / (l.n + r.n - coalesce(s, 0)), 4) AS value_jaccard, coalesce(s, 0) AS shared_values, l.n AS a_values, r.n AS b_values
+FROM k l JOIN k r ON l.key = r.key AND l.vocab < r.vocab LEFT JOIN x ON x.a = l.vocab AND x.b = r.vocab AND x.key = l.key""")
+def codelist_value_overlap(spark, d):
+    return similarity.value_overlap(_segments(spark, d).select("vocab", F.col("n_name").alias("key"), F.concat("s", "p", F.col("m").cast("string")).alias("member")))
 
 
 @query("""WITH o AS (SELECT url AS path, md5(html) AS d FROM pages WHERE page_id % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1), n AS (SELECT url AS path, md5(html || CASE WHEN page_id % 5 = 0 THEN '!' ELSE '' END) AS d FROM pages WHERE page_id % 8 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswalk.operators import shacl, vector_index
+from crosswalk.functions import values
+from crosswalk.operators import graph, quality, shacl, vector_index
 from crosswalk.plans.tables import table, vectors
+from crosswalk.sources import rdf_formats
 from crosswalk.sources.rdf import parse_text
 
 QUERIES, SQL = {}, {}
@@ -75,3 +77,60 @@ SELECT q, t, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER
 def vector_topk_indexed(spark, d):
     q, t = vectors(spark, d)
     return vector_index.search(vector_index.build(t, 16), q, 5)
+
+
+_DOC = """WITH p AS (SELECT 'http://e.test/part#P' || p_partkey AS s, * FROM part)
+SELECT s, 'type' AS p, 'Part' AS o, 'iri' AS kind, NULL AS datatype, NULL AS lang FROM p UNION ALL SELECT s, 'name', p_name, 'literal', 'langString', 'en' FROM p
+UNION ALL SELECT s, 'size', p_size::VARCHAR, 'literal', 'integer', NULL FROM p UNION ALL SELECT s, 'brand', 'http://e.test/brand/' || replace(p_brand, '#', '-'), 'iri', NULL, NULL FROM p"""
+
+
+def _short(t: DataFrame) -> DataFrame:
+    last = lambda c: F.regexp_extract(c, "([^#/]*)$", 1)
+    return t.select("s", last("p").alias("p"), F.when(F.col("p").endswith("#type"), last("o")).otherwise(F.col("o")).alias("o"), F.col("o_kind").alias("kind"), last("o_datatype").alias("datatype"), F.col("o_lang").alias("lang"))
+
+
+@query(_DOC)
+def xml_statements(spark, d):
+    p = table(spark, d, "part")
+    s = lambda c: F.col(c).cast("string")
+    safe = F.replace(F.replace("p_name", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    node = F.concat(F.lit('<x:Part rdf:about="#P'), s("p_partkey"), F.lit('"><x:name xml:lang="en">'), safe, F.lit(f'</x:name><x:size rdf:datatype="{XSD}integer">'), s("p_size"), F.lit('</x:size><x:brand rdf:resource="http://e.test/brand/'), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit('"/></x:Part>'))
+    head = f'<rdf:RDF xmlns:rdf="{RDF}" xmlns:x="http://e.test/ns#" xml:base="http://e.test/part">'
+    # a document for each thousand parts, so that one is small however many there are
+    texts = p.groupBy(F.floor(F.col("p_partkey") / 1000).cast("string").alias("graph")).agg(F.concat(F.lit(head), F.array_join(F.collect_list(node), ""), F.lit("</rdf:RDF>")).alias("text"))
+    return _short(rdf_formats.parse_column(texts, "xml"))
+
+
+@query(_DOC)
+def json_statements(spark, d):
+    p = table(spark, d, "part")
+    context = F.lit('{"@vocab": "http://e.test/ns#", "xsd": "' + XSD + '", "size": {"@type": "xsd:integer"}, "name": {"@language": "en"}, "brand": {"@type": "@id"}, "part": "http://e.test/part#"}')
+    own = F.to_json(F.struct(F.concat(F.lit("part:P"), F.col("p_partkey").cast("string")).alias("@id"), F.lit("Part").alias("@type"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.concat(F.lit("http://e.test/brand/"), F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("brand")))
+    return _short(rdf_formats.parse_column(p.select(F.concat(F.lit('{"@context": '), context, F.lit(', "@graph": ['), own, F.lit("]}")).alias("text"), F.col("p_partkey").cast("string").alias("graph")), "json-ld"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, ',"check":' || CASE WHEN s_suppkey % 3 = 0 THEN '1' ELSE '2' END AS x, s_name, s_nationkey FROM supplier)
+SELECT s_suppkey, '{"name":"' || s_name || '","nation":' || s_nationkey || '}' AS canonical, sha256('{"k":"name"}"' || s_name || '",{"k":"nation"}' || s_nationkey) AS digest FROM s""")
+def document_digests(spark, d):
+    s = table(spark, d, "supplier")
+    name, nation, made = F.concat(F.lit('"name": "'), "s_name", F.lit('"')), F.concat(F.lit('"nation": '), F.col("s_nationkey").cast("string")), F.concat(F.lit('"made": '), F.col("s_suppkey").cast("string"))
+    text = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("{ "), name, F.lit(" , "), made, F.lit(","), nation, F.lit("}"))).otherwise(F.concat(F.lit("{"), nation, F.lit(","), name, F.lit(", "), made, F.lit(" }")))
+    plain = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("{"), name, F.lit(","), nation, F.lit("}"))).otherwise(F.concat(F.lit("{"), nation, F.lit(","), name, F.lit("}")))
+    return s.select("s_suppkey", values.canonical_json(plain).alias("canonical"), values.document_digest(text, ("made",)).alias("digest"))
+
+
+@query("""WITH f AS (SELECT 'in ' || n_name || ': ' || s_name || ' is broken' AS details FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 3 <> 0), c AS (SELECT s_name AS concept FROM supplier UNION ALL SELECT n_name FROM nation)
+SELECT 'shape' AS "check", concept, 'look at its shape' AS recommendation FROM f JOIN c ON contains(details, concept)""")
+def feedback_routes(spark, d):
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    text = F.concat(F.lit("in "), F.col("n_name"), F.lit(": "), F.col("s_name"), F.lit(" is broken"))
+    checks = s.join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.lit("shape").alias("check"), F.when(F.col("s_suppkey") % 3 == 0, "pass").otherwise("fail").alias("status"), text.alias("details"))
+    return quality.routing(checks, s.select(F.col("s_name").alias("concept")).unionByName(n.select(F.col("n_name").alias("concept"))), {"shape": "look at its shape"})
+
+
+@query("""WITH w AS (SELECT 'b' || o_orderkey AS node, o_custkey, o_orderkey FROM orders)
+SELECT node, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM w""")
+def anonymous_numbers(spark, d):
+    o = table(spark, d, "orders")
+    t = o.select(F.concat(F.lit("b"), F.col("o_orderkey").cast("string")).alias("s"), F.lit("bnode").alias("s_kind"), F.lit("x:of").alias("p"), F.concat(F.lit("x:c"), F.col("o_custkey").cast("string")).alias("o"), F.lit("iri").alias("o_kind"))
+    return graph.blank_names(t).select("node", F.substring_index("name", "_", -1).cast("long").alias("n"))

@@ -49,3 +49,47 @@ def file_names(rows: DataFrame, name: str) -> DataFrame:
 def documents(rows: DataFrame, path: str) -> None:
     """JSON documents, a row a line, in files that a commit makes visible together."""
     rows.write.mode("errorifexists").json(path)
+
+
+def put(path: str, data: bytes) -> None:
+    """Writes a whole file under its name at once: to another name first, then moved. A name without a scheme, or with that of files, is local."""
+    import os
+    import re
+    import uuid
+    from urllib.parse import urlparse
+
+    u = urlparse(path)
+    if u.scheme in ("", "file"):
+        part = f"{u.path}.{uuid.uuid4().hex}.part"
+        os.makedirs(os.path.dirname(u.path), exist_ok=True)
+        with open(part, "wb") as f:
+            f.write(data)
+        os.replace(part, u.path)
+        return
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
+    part = f"{at}.{uuid.uuid4().hex}.part"
+    store.create_dir(os.path.dirname(at), recursive=True)
+    with store.open_output_stream(part) as f:
+        f.write(data)
+    store.move(part, at)
+
+
+def single_documents(rows: DataFrame, folder: str) -> int:
+    """Writes each row (file, text), a JSON document, as one file of its name with two spaces to a level and a line end; how many. A file is there whole or not at all.
+
+    A text that is no JSON is an error. Of rows of one file name the last written stays, so names must be distinct (:func:`file_names` makes them so).
+    """
+    import json
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, text in zip(pdf["file"], pdf["text"], strict=True):
+                put(f"{folder.rstrip('/')}/{name}", (json.dumps(json.loads(text), indent=2, ensure_ascii=False) + "\n").encode("utf-8"))
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return rows.select("file", "text").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
