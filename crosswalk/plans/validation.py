@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosswalk.functions import values
-from crosswalk.operators import graph, quality, shacl, vector_index
-from crosswalk.plans.tables import table, vectors
+from crosswalk.operators import graph, policy, quality, shacl, vector_index
+from crosswalk.plans.tables import MODEL_SQL, matrix, model, table, vectors
 from crosswalk.sources import rdf_formats
 from crosswalk.sources.rdf import parse_text
 
 QUERIES, SQL = {}, {}
+_MODEL = "WITH " + MODEL_SQL
 XSD, RDF = "http://www.w3.org/2001/XMLSchema#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 
 
@@ -134,3 +135,80 @@ def anonymous_numbers(spark, d):
     o = table(spark, d, "orders")
     t = o.select(F.concat(F.lit("b"), F.col("o_orderkey").cast("string")).alias("s"), F.lit("bnode").alias("s_kind"), F.lit("x:of").alias("p"), F.concat(F.lit("x:c"), F.col("o_custkey").cast("string")).alias("o"), F.lit("iri").alias("o_kind"))
     return graph.blank_names(t).select("node", F.substring_index("name", "_", -1).cast("long").alias("n"))
+
+
+# decisions on targets: a nation's name is a class, customers' segments and suppliers' names are not
+
+_POLICY = """n AS (SELECT 'http://e.test/r' || n_regionkey || '/' AS ns, n_name AS name, 'r' || n_regionkey AS prefix FROM nation WHERE n_nationkey % 6 <> 0),
+s AS (SELECT 'c' || c_custkey AS concept, c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 11 = 1 THEN '[undecided]' WHEN c_custkey % 2 = 0 THEN 'http://e.test/r' || n_regionkey || '/' || n_name ELSE 'r' || n_regionkey || ':' || n_name END AS target,
+ 'r' || n_regionkey || ':' || n_name AS canonical, n_nationkey % 6 <> 0 AS ok, n_nationkey = 7 AS root FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
+
+
+def _policy(spark, d) -> tuple[DataFrame, policy.Policy]:
+    n = table(spark, d, "nation")
+    space = F.concat(F.lit("http://e.test/r"), F.col("n_regionkey").cast("string"), F.lit("/"))
+    prefix = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))
+    p = policy.Policy(n.where("n_nationkey % 6 <> 0").select(space.alias("namespace"), F.col("n_name").alias("name")), n.select(prefix.alias("prefix"), space.alias("base")).distinct(), n.where("n_nationkey = 7").select(space.alias("namespace"), F.col("n_name").alias("name")))
+    c = table(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey"))
+    k = F.col("c_custkey") % 11
+    target = F.when(k == 0, None).when(k == 1, "[undecided]").when(F.col("c_custkey") % 2 == 0, F.concat(space, "n_name")).otherwise(F.concat(prefix, F.lit(":"), "n_name"))
+    return c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("concept"), target.alias("target"), F.col("c_custkey").alias("k"), F.concat(prefix, F.lit(":"), "n_name").alias("canonical")), p
+
+
+@query(f"WITH {_POLICY} SELECT concept, CASE WHEN k % 11 < 2 THEN target ELSE canonical END AS target, true AS accepted FROM s WHERE ok OR k % 11 < 2 UNION ALL SELECT concept, target, false FROM s WHERE NOT ok AND k % 11 >= 2")
+def canonical_class_targets(spark, d):
+    picked, p = _policy(spark, d)
+    kept, rejected = policy.canonical_targets(picked.select("concept", "target"), p)
+    return kept.withColumn("accepted", F.lit(True)).unionByName(rejected.select("concept", "target", F.lit(False).alias("accepted")))
+
+
+@query(f"""WITH {_POLICY}, m AS (SELECT *, CASE k % 4 WHEN 0 THEN 'reuse' WHEN 1 THEN 'extend' WHEN 2 THEN 'augment' ELSE 'exclude' END AS action FROM s),
+f AS (SELECT concept, action, target, 'target' AS field, ok, root, 0 AS pos FROM m WHERE action <> 'exclude' AND k % 11 >= 2
+ UNION ALL SELECT concept, action, canonical, CASE action WHEN 'extend' THEN 'baseType' ELSE 'augmentsType' END, ok, root, 1 FROM m WHERE action IN ('extend', 'augment'))
+SELECT concept, target, string_agg(field, '/' ORDER BY pos) AS fields, CASE WHEN NOT any_value(ok) THEN 'not-a-class' ELSE 'root-only-extends' END AS reason FROM f WHERE NOT ok OR (root AND action <> 'extend') GROUP BY concept, target""")
+def invalid_class_targets(spark, d):
+    picked, p = _policy(spark, d)
+    k = F.col("k") % 4
+    m = picked.withColumn("action", F.when(k == 0, "reuse").when(k == 1, "extend").when(k == 2, "augment").otherwise("exclude"))
+    return policy.invalid_targets(m.select("concept", "action", "target", F.when(k == 1, F.col("canonical")).alias("baseType"), F.when(k == 2, F.col("canonical")).alias("augmentsType")), p)
+
+
+_CASCADE = _MODEL + """, to_ AS (SELECT concept, CASE WHEN pos % 10 = 0 THEN NULL ELSE 'nc:1Type' END AS target FROM concepts WHERE pos % 5 = 0),
+b2 AS (SELECT p.concept, CASE WHEN p.target IS NULL OR p.target = '[undecided]' THEN 'not_found' WHEN h.type IS NOT NULL THEN 'on_target' ELSE 'elsewhere' END AS bucket FROM props p JOIN to_ c USING (concept) LEFT JOIN has h ON h.type = c.target AND h.property = p.target),
+c2 AS (SELECT t.concept, t.target, count(*) FILTER (bucket = 'elsewhere') AS e, count(*) FILTER (bucket = 'not_found') AS n FROM to_ t LEFT JOIN b2 USING (concept) GROUP BY ALL),
+d2 AS (SELECT *, CASE WHEN target IS NULL THEN 'extend' WHEN e + n = 0 THEN 'reuse' WHEN e >= n THEN 'augment' ELSE 'extend' END AS action FROM c2)"""
+
+
+@query(f"""{_CASCADE} SELECT concept, target, action, 'pending-review' AS "reviewStatus", 'target-type-change-cascade' AS "ruleId", CASE WHEN target IS NULL THEN '' ELSE 'About nc:1Type' END AS "targetDefinition",
+ CASE WHEN target IS NOT NULL THEN substr(sha256('About nc:1Type'), 1, 16) END AS "targetDefinitionHash", CASE WHEN target IS NOT NULL THEN 'Label of nc:1Type' END AS "targetLabel" FROM d2
+UNION ALL SELECT concept, target, action, "reviewStatus", NULL, NULL, NULL, NULL FROM matrix WHERE pos % 5 <> 0""")
+def target_cascade(spark, d):
+    concepts, _, has = model(spark, d)
+    m, p = matrix(spark, d)
+    none = F.lit(None).cast("string")
+    m = m.withColumns(dict.fromkeys(("ruleId", "targetDefinition", "targetDefinitionHash", "targetLabel"), none))
+    to = concepts.where("pos % 5 = 0").select("concept", F.when(F.col("pos") % 10 != 0, "nc:1Type").alias("target"))
+    catalog = has.select(F.col("type").alias("key")).distinct().select("key", F.concat(F.lit("Label of "), "key").alias("label"), F.concat(F.lit("About "), "key").alias("definition"))
+    got, _ = policy.cascade(m, to, p.withColumn("reviewStatus", F.lit("accepted")), has, catalog, default_base="structures:ObjectType")
+    return got.select("concept", "target", "action", "reviewStatus", "ruleId", "targetDefinition", "targetDefinitionHash", "targetLabel")
+
+
+@query(f"{_MODEL} SELECT concept, name, CASE action WHEN 'reuse-property' THEN 'reuse-property requires target' ELSE 'human-must-decide: must be resolved' END AS issue FROM pm WHERE action = 'human-must-decide'")
+def property_decision_issues(spark, d):
+    return policy.property_issues(matrix(spark, d)[1])
+
+
+@query(f"""{_MODEL}, e AS (SELECT concept, CASE WHEN pos % 4 = 0 THEN 'reuse' ELSE action END AS action, action AS was, target FROM matrix)
+SELECT concept, issue FROM (SELECT concept, CASE WHEN action = 'reuse' AND target IS NULL THEN 'reuse requires target' END AS issue FROM e
+ UNION ALL SELECT concept, unnest(CASE WHEN action = 'reuse' AND was = 'extend' THEN ['reuse should not have extensionType', 'reuse should not have baseType'] WHEN action = 'reuse' AND was = 'augment' THEN ['reuse should not have augmentationType', 'reuse should not have augmentsType'] ELSE [] END) FROM e) WHERE issue IS NOT NULL""")
+def class_decision_issues(spark, d):
+    return policy.class_issues(matrix(spark, d)[0].withColumn("action", F.when(F.col("pos") % 4 == 0, "reuse").otherwise(F.col("action"))))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, md5(l_suppkey::VARCHAR) AS o, CASE WHEN l_partkey % 3 = 0 THEN md5('x' || l_suppkey) WHEN l_partkey % 7 = 0 THEN NULL ELSE md5(l_suppkey::VARCHAR) END AS n FROM lineitem WHERE l_linenumber < 6)
+SELECT DISTINCT l_orderkey AS concept, l_linenumber || '_' || l_partkey || '_' || l_suppkey AS name, 'old ' || l_suppkey AS old_definition, 'new ' || l_suppkey AS new_definition FROM l WHERE l_linenumber > 1 AND n IS NOT NULL AND n <> o""")
+def stale_property_definitions(spark, d):
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("concept"), F.concat_ws("_", "l_linenumber", "l_partkey", "l_suppkey").alias("name"), "l_linenumber", "l_partkey", F.col("l_suppkey").cast("string").alias("s"), F.lit(0).alias("pos"))
+    old = l.where("l_linenumber < 6").select("concept", "name", F.md5("s").alias("hash"), F.concat(F.lit("old "), "s").alias("definition"), "pos")
+    now = F.when(F.col("l_partkey") % 3 == 0, F.md5(F.concat(F.lit("x"), "s"))).when(F.col("l_partkey") % 7 != 0, F.md5("s"))
+    return policy.stale_properties(old, l.where("l_linenumber > 1").select("concept", "name", now.alias("hash"), F.concat(F.lit("new "), "s").alias("definition"), "pos"))

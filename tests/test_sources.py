@@ -1,14 +1,24 @@
 from pyspark.sql import functions as F
 
-from crosswalk.plans import sources
 from crosswalk.sinks import emit, tables
 from crosswalk.sources import extract, models, rdf
 
+TURTLE = """@prefix x: <http://example.test/ns#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
+@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .
+x:Permit a owl:Class ; rdfs:label "Permit"@en , "Permit" ; rdfs:comment "A permission." ; rdfs:subClassOf x:Record .
+x:Record a owl:Class ; rdfs:label "Record" .
+x:issuedBy a owl:ObjectProperty ; rdfs:domain x:Permit ; rdfs:range x:Office .
+x:number a owl:DatatypeProperty ; rdfs:domain x:Permit , x:Record ; rdfs:range xsd:string .
+x:PermitShape a sh:NodeShape ; sh:targetClass x:Permit ; sh:property [ sh:path x:number ; sh:minCount 1 ; sh:maxCount 1 ; sh:datatype xsd:string ] .
+[] rdfs:member ( x:Permit 3 2.5 true ) .
+"""
+CSV = [("Permit", None, None, None, "A permission."), (None, "number", "string", "1", "Element# 4\nThe number."), (None, "issuedBy", "(Office)", "0..1", "User Story: who gave it"), (None, "<note>", "string", None, None), (None, "record", "Record", "0..*", None), ("Record", None, None, None, None), (None, "permit", "Permit", "*", None), (None, "at", "dateTime", "1", None)]
+
 
 def test_turtle(spark):
-    t = rdf.parse_text(spark, sources.TURTLE)
+    t = rdf.parse_text(spark, TURTLE)
     assert t.where("p like '%#first'").count() == 4 and t.where("o_lang = 'en'").count() == 1 and t.where("o_datatype like '%#decimal' and o = '2.5'").count() == 1
-    same = rdf.parse_text(spark, sources.TURTLE + "x:Record a owl:Class .")
+    same = rdf.parse_text(spark, TURTLE + "x:Record a owl:Class .")
     assert same.count() == t.count()
     assert rdf.file_roles(t).first()["role"] == "ontology"
 
@@ -21,7 +31,7 @@ def test_files_are_read_as_a_whole(spark, tmp_path):
 
 
 def test_extraction(spark):
-    t = rdf.parse_text(spark, sources.TURTLE)
+    t = rdf.parse_text(spark, TURTLE)
     p = {r["qname"]: r for r in extract.properties(t, sources.NAMES).collect()}
     assert p["x:number"]["domain"] == ["x:Permit", "x:Record"] and p["x:number"]["range"] == [rdf.XSD + "string"] and p["x:issuedBy"]["range"] == ["x:Office"]
     assert {r["iri"][-6:]: r["label"] for r in extract.best_label(t).collect()} == {"Permit": "Permit", "Record": "Record"}
@@ -29,7 +39,7 @@ def test_extraction(spark):
 
 
 def test_tabular_model(spark):
-    got = {(r["class"], r["attribute"]): r for r in sources.csv_model_inventory(spark, "").collect()}
+    got = {(r["class"], r["attribute"]): r for r in models.csv_model(spark.createDataFrame([(*r, i) for i, r in enumerate(CSV)], "class string, attribute string, type string, multiplicity string, definition string, pos long")).collect()}
     assert got["Permit", "issuedBy"]["kind"] == "object" and got["Permit", "record"]["kind"] == "datatype" and got["Record", "permit"]["kind"] == "object"
     assert ("Permit", "<note>") not in got and got["Record", "at"]["range"] == "xs:string"
 
@@ -54,7 +64,7 @@ def test_listing(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    t = rdf.parse_text(spark, sources.TURTLE).where("s_kind = 'iri' and o_kind <> 'bnode'")
+    t = rdf.parse_text(spark, TURTLE).where("s_kind = 'iri' and o_kind <> 'bnode'")
     emit.write_lines(emit.named_graph(t, "http://e.test/g", {"x": "http://e.test/"}), str(tmp_path / "g"), ["section", "key"])
     text = [r["value"] for r in spark.read.text(str(tmp_path / "g")).collect()]
     assert text[0].startswith("@prefix") and text[-1] == "}"
