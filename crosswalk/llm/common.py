@@ -265,10 +265,10 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     return at.withColumn("__part", part).join(first, "__part").withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__at", "__part", "__before")
 
 
-def parts_for(df: DataFrame, rows_each: int = 6000, n: int | None = None) -> int:
-    """How many partitions hold about ``rows_each`` rows each."""
+def parts_for(df: DataFrame, rows_each: int = 6000, n: int | None = None, most: int | None = None) -> int:
+    """How many partitions hold about ``rows_each`` rows each, ``most`` at most."""
     n = df.count() if n is None else n
-    return max(1, -(-n // rows_each))
+    return min(max(1, -(-n // rows_each)), most or n + 1)
 
 
 def plain(name: str) -> str:

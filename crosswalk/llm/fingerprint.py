@@ -83,6 +83,10 @@ def as_string(a: Column) -> Column:
     return F.regexp_replace(F.base64(F.unhex(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), ""))), r"\s", "")
 
 
+#: ranges at most, so that their starts (some 60 bytes each, a few MB) may be sent to every task; beyond, ranges get more rows
+MOST_RANGES = 50_000
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_each: int = 3000, before=None) -> DataFrame:
     """doc_id and text of every row, and each further column made by ``before`` from them, each with the next row's (next_...).
 
@@ -93,9 +97,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LONGEST)).alias("key"), F.substring("text", 1, 32).alias("begin"), F.xxhash64("text").alias("hash"))
-    parts = parts_for(rows, rows_each)
+    parts = parts_for(rows, rows_each, most=MOST_RANGES)
     starts = range_starts(rows, order, parts).withColumn("__one", F.lit(1))
-    # a single row: the starts of as many ranges as there are tasks
+    # a single row, of MOST_RANGES starts at most
     rows = rows.withColumns({"__order": order, "__one": F.lit(1)}).join(F.broadcast(starts), "__one")
     rows = rows.withColumn("__own", range_of(F.col("starts"), F.col("__order")))
     here = F.array(F.struct(F.col("__own").alias("b"), F.lit(0).alias("g")))

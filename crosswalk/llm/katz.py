@@ -338,6 +338,9 @@ def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text
     # one row a distinct count, at most about the square root of twice the tokens
     by_count = sorted(((r["c"], r["n"]) for r in held.groupBy("c").agg(F.sum("n").alias("n")).collect()), reverse=True)
     words = Words(np.array([c for c, _ in by_count], np.int64), np.cumsum([n for _, n in by_count], dtype=np.int64), sum(c * n for c, n in by_count))
+    # words are known by their rank in 32 bits, the last of which stands for unknown ones
+    if by_count and words.ends[-1] >= int(UNKNOWN):
+        raise OverflowError(f"{words.ends[-1]} distinct words are more than ranks of 32 bits can name")
     say = (words.counts, words.ends, words.tokens)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
@@ -399,7 +402,7 @@ def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text
         context, w = contexts[(keys >> np.uint64(32)).astype(np.int64)], (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         h2, h1 = (context >> np.uint64(32)).astype(np.uint32), (context & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         f = io.BytesIO()
-        pq.write_table(pa.table({"h2": h2, "h1": h1, "w": w, "count": c.astype(np.uint32)}), f, compression="zstd", use_dictionary=False, column_encoding={k: "DELTA_BINARY_PACKED" for k in ("h2", "h1", "w", "count")})
+        pq.write_table(pa.table({"h2": h2, "h1": h1, "w": w, "count": c}), f, compression="zstd", use_dictionary=False, column_encoding={k: "DELTA_BINARY_PACKED" for k in ("h2", "h1", "w", "count")})
         write_file(f"{tables}/runs/bucket={b}/runs.parquet", f.getvalue())
         asked = io.BytesIO()
         np.savez(asked, chunks=pdf["chunk"].to_numpy(), sizes=np.array(sizes), where=np.frombuffer(_packed(where.astype(np.uint32)), np.uint8))
