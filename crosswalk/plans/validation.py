@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswalk.functions import values
+from crosswalk.functions import names, naming, values
 from crosswalk.operators import graph, policy, quality, shacl, vector_index
 from crosswalk.plans.tables import MODEL_SQL, matrix, model, table, vectors
-from crosswalk.sources import rdf_formats
-from crosswalk.sources.rdf import parse_text
+from crosswalk.sources import extract, rdf_formats
+from crosswalk.sources.rdf import parse_column, parse_text
 
 QUERIES, SQL = {}, {}
 _MODEL = "WITH " + MODEL_SQL
@@ -212,3 +212,86 @@ def stale_property_definitions(spark, d):
     old = l.where("l_linenumber < 6").select("concept", "name", F.md5("s").alias("hash"), F.concat(F.lit("old "), "s").alias("definition"), "pos")
     now = F.when(F.col("l_partkey") % 3 == 0, F.md5(F.concat(F.lit("x"), "s"))).when(F.col("l_partkey") % 7 != 0, F.md5("s"))
     return policy.stale_properties(old, l.where("l_linenumber > 1").select("concept", "name", now.alias("hash"), F.concat(F.lit("new "), "s").alias("definition"), "pos"))
+
+
+# names and values
+
+_SLUG = "regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '[^A-Za-z0-9_.-]+', '-', 'g'), '^[^A-Za-z_]+', ''), '-+$', '')"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, replace(c_name, '#', ' ') AS org, c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN ' (' || c_nationkey || ')' ELSE '' END AS src FROM customer),
+s AS (SELECT *, coalesce(nullif({_SLUG.format('org')}, ''), 'org') AS o, coalesce(nullif({_SLUG.format('src')}, ''), 'source') AS s FROM c)
+SELECT c_custkey, o || '_' || s || '_edge_package' AS package, org || '_' || src || '_agency_package' AS agency_package, 'http://' || o || '.gov/' || s || '/edge#' AS edge_namespace, s || '-edge-core.ttl' AS core_file, s || '-edge:' AS edge_prefix, org || ' ' || upper(src) AS label FROM s""")
+def package_names(spark, d):
+    c = table(spark, d, "customer")
+    org = F.replace("c_name", F.lit("#"), F.lit(" "))
+    src = F.concat("c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" ("), F.col("c_nationkey").cast("string"), F.lit(")"))).otherwise(""))
+    return c.select("c_custkey", naming.package_names(org, src, F.lit("niem")).alias("n")).select("c_custkey", "n.package", "n.agency_package", "n.edge_namespace", "n.core_file", "n.edge_prefix", "n.label")
+
+
+@query(f"""WITH p AS (SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN ' ' ELSE p_name || '_' || p_brand END AS src, CASE WHEN p_size % 5 = 0 THEN 'own' END AS given FROM part),
+s AS (SELECT *, {_SLUG.format("replace(replace(lower(trim(src)), ' ', '-'), '_', '-')")} AS slug FROM p)
+SELECT p_partkey, coalesce(given, nullif(slug, ''), 'src') AS prefix, 'urn:' || coalesce(nullif(slug, ''), 'src') || '-model' AS uri FROM s""")
+def source_namespaces(spark, d):
+    src = F.when(F.col("p_size") % 4 == 0, None).when(F.col("p_size") % 4 == 1, " ").otherwise(F.concat_ws("_", "p_name", "p_brand"))
+    prefix, uri = naming.source_namespace(src, F.when(F.col("p_size") % 5 == 0, "own"), F.lit(None).cast("string"))
+    return table(spark, d, "part").select("p_partkey", prefix.alias("prefix"), uri.alias("uri"))
+
+
+@query("""WITH s AS (SELECT DISTINCT 'n' || n_nationkey AS prefix, 'http://s.test/' || n_nationkey AS uri FROM nation), t AS (SELECT 'n' || s_nationkey AS prefix, min('http://' || CASE WHEN s_nationkey % 2 = 0 THEN 's' ELSE 't' END || '.test/' || s_nationkey) AS uri FROM supplier GROUP BY s_nationkey)
+SELECT s.prefix, CASE WHEN t.uri <> s.uri THEN 'source_' || s.prefix ELSE s.prefix END AS emitted, s.uri FROM s LEFT JOIN t USING (prefix) WHERE s.prefix <> 'n3'""")
+def prefix_bindings(spark, d):
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    own = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(":")).alias("prefix"), F.concat(F.lit("http://s.test/"), F.col("n_nationkey").cast("string")).alias("uri"))
+    key = F.col("s_nationkey")
+    to = s.select(F.concat(F.lit("n"), key.cast("string")).alias("prefix"), F.concat(F.lit("http://"), F.when(key % 2 == 0, "s").otherwise("t"), F.lit(".test/"), key.cast("string")).alias("uri")).distinct()
+    return naming.namespace_bindings(own, to, "n3", "x-edge:")
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'src:' || s_name WHEN 1 THEN 'src:' || s_name WHEN 2 THEN 'A & ' || s_name ELSE 'other:' || s_name END AS name FROM supplier""")
+def repaired_names(spark, d):
+    k = F.col("s_suppkey") % 4
+    said = F.when(k == 0, F.col("s_name")).when(k == 1, F.concat(F.lit("src&#58;"), "s_name")).when(k == 2, F.concat(F.lit("A &amp; "), "s_name")).otherwise(F.concat(F.lit("other:"), "s_name"))
+    return table(spark, d, "supplier").select("s_suppkey", naming.repaired(said, F.concat(F.lit("src:"), "s_name")).alias("name"))
+
+
+@query("""SELECT 'http://e.test/ns#S' || s_suppkey AS iri, CASE WHEN s_nationkey % 2 = 0 THEN 'plain ' || s_name || '|' || s_name ELSE s_name END AS labels FROM supplier""")
+def other_labels(spark, d):
+    s = table(spark, d, "supplier")
+    line = F.concat(F.lit("x:S"), F.col("s_suppkey").cast("string"), F.lit(' s:altLabel "'), "s_name", F.lit('"@en-US , "nicht"@de , '), F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit('"plain '), "s_name", F.lit('"'))).otherwise(F.concat(F.lit('"'), "s_name", F.lit('"@en'))), F.lit(" .\n"))
+    head = "@prefix x: <http://e.test/ns#> . @prefix s: <http://www.w3.org/2004/02/skos/core#> .\n"
+    texts = s.groupBy(F.floor(F.col("s_suppkey") / 1000).cast("string").alias("graph")).agg(F.concat(F.lit(head), F.array_join(F.collect_list(line), "")).alias("text"))
+    return extract.alternative_labels(parse_column(texts)).select("iri", F.array_join(F.reverse(F.sort_array("labels")), "|").alias("labels"))
+
+
+@query("""WITH u AS (SELECT page_id, url, url || '#P' || page_id AS full_, 'p' || page_id % 7 || ':Name' || page_id || 'Type' AS q FROM pages)
+SELECT page_id, regexp_matches(lower(url), '^(https?://|urn:)') AS full_iri, string_split(q, ':')[-1] AS after_last, regexp_extract(q, '^[^:]*:(.*)$', 1) AS after_first, string_split(full_, '#')[-1] AS after_hash,
+ url || CASE WHEN regexp_matches(url, '[/#:]$') THEN '' ELSE '/' END || 'X' AS component, 'p' || page_id % 7 || ':bare' AS qualified, CASE WHEN page_id % 7 IN (1, 2) THEN q ELSE 'edge:Name' || page_id || 'Type' END AS created,
+ replace(q, ':', '.') AS id, q AS back, 'http://n.test#C' AS class_iri, 'http://n.test#C.' || page_id AS property_iri, CASE WHEN page_id % 2 = 0 THEN 'run' || page_id END AS org FROM u""")
+def name_functions(spark, d):
+    p = table(spark, d, "pages").withColumns({"id_": F.col("page_id").cast("string"), "seven": (F.col("page_id") % 7).cast("string")})
+    q, url = F.concat(F.lit("p"), "seven", F.lit(":Name"), "id_", F.lit("Type")), F.col("url")
+    run = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("run"), "id_", F.lit("_20260101_x"))).otherwise(F.concat(F.lit("run"), "id_"))
+    return p.select(
+        "page_id", names.is_full_iri(url).alias("full_iri"), names.after_last_colon(q).alias("after_last"), names.after_first_colon(q).alias("after_first"), names.after_hash_or_slash(F.concat(url, F.lit("#P"), "id_")).alias("after_hash"),
+        names.component_iri(url, F.lit("X")).alias("component"), names.qualified_target_property(F.lit("bare"), q).alias("qualified"), names.created_property_qname(q, "p0", ["p0", "p1", "p2"], "edge").alias("created"),
+        names.qname_to_id(q).alias("id"), names.id_to_qname(names.qname_to_id(q)).alias("back"), names.class_iri("http://n.test/", F.lit("C")).alias("class_iri"), names.property_iri("http://n.test#", F.lit("C"), F.col("id_")).alias("property_iri"), names.org_of_run(run).alias("org"),
+    )
+
+
+@query(r"""WITH o AS (SELECT o_orderkey, o_orderstatus AS st, o_totalprice AS price, o_orderdate AS t, o_orderpriority AS pr, (o_orderkey % 400)::INT AS secs FROM orders)
+SELECT o_orderkey, pr || ' told' AS definition, CASE st WHEN 'O' THEN 0 ELSE 1 END AS language, CASE st WHEN 'O' THEN 'Violation' WHEN 'F' THEN 'Warning' ELSE 'Info' END AS severity, strftime(t, '%Y-%m-%dT%H:%M:%SZ') AS stamp,
+ t AS parsed, CASE WHEN secs < 60 THEN secs || '.0s' ELSE secs // 60 || 'm ' || secs % 60 || 's' END AS duration, CASE st WHEN 'O' THEN 'xsd:date-to-iso8601' END AS transform, CASE st WHEN 'O' THEN (o_orderkey % 50)::VARCHAR WHEN 'F' THEN 'true' ELSE '''it\''s ' || pr || '''' END AS literal,
+ CASE st WHEN 'O' THEN 'a,b' WHEN 'F' THEN 'c' ELSE '' END AS targets FROM o""")
+def value_functions(spark, d):
+    o = table(spark, d, "orders")
+    st, secs = F.col("o_orderstatus"), F.col("o_orderkey") % 400
+    pick = lambda a, b, c: F.when(st == "O", a).when(st == "F", b).otherwise(c)
+    text = F.concat(F.lit("Element# 4\n  "), "o_orderpriority", F.lit("\nUser Story:\nUser Story: told"))
+    stamp = values.stamp(F.col("o_orderdate"))
+    raw = pick(F.concat(F.lit("+0"), (F.col("o_orderkey") % 50).cast("string")), F.lit("TRUE"), F.concat(F.lit("it's "), "o_orderpriority"))
+    return o.select(
+        "o_orderkey", values.clean_definition(text).alias("definition"), values.language_rank(pick(F.lit("EN"), F.lit("de"), F.lit("fr"))).alias("language"), values.shacl_severity(pick(F.lit(None).cast("string"), F.lit("http://www.w3.org/ns/shacl#Warning"), F.lit("http://www.w3.org/ns/shacl#Info"))).alias("severity"),
+        stamp.alias("stamp"), values.parse_stamp(stamp).cast("timestamp_ntz").alias("parsed"), values.duration_text(secs).alias("duration"), values.date_transform(pick(F.lit(XSD + "date"), F.lit(XSD + "string"), F.lit("date time"))).alias("transform"),
+        values.cypher_literal(raw, pick(F.lit(XSD + "integer"), F.lit(XSD + "boolean"), F.lit(XSD + "string"))).alias("literal"), F.array_join(values.shape_targets(pick(F.array(F.lit("a"), F.lit("b")), F.array().cast("array<string>"), F.lit(None).cast("array<string>")), pick(F.lit("z"), F.lit("c"), F.lit(""))), ",").alias("targets"),
+    )

@@ -87,6 +87,12 @@ def best_label(t: DataFrame) -> DataFrame:
     return first_by(t.where(F.col("p") == RDFS + "label"), ["s"], language_rank(F.col("o_lang")), "o").select(F.col("s").alias("iri"), F.col("o").alias("label"))
 
 
+def alternative_labels(t: DataFrame) -> DataFrame:
+    """iri and its distinct skos:altLabel texts in order, those without language or in English."""
+    own = t.where((F.col("p") == SKOS + "altLabel") & (F.col("o_kind") == "literal") & (F.coalesce(F.lower("o_lang"), F.lit("")).isin("", "en", "en-us")))
+    return own.groupBy(F.col("s").alias("iri")).agg(F.sort_array(F.collect_set("o")).alias("labels"))
+
+
 def best_definition(t: DataFrame) -> DataFrame:
     """iri and its trimmed definition: skos:definition (not 'NULL'), else rdfs:comment, else dc:description."""
     rank = F.when(F.col("p") == SKOS + "definition", 0).when(F.col("p") == RDFS + "comment", 1).when(F.col("p") == DC, 2)
@@ -108,4 +114,4 @@ def primary_namespace(cls: DataFrame) -> DataFrame:
     return cls.groupBy(namespace_of(F.col("iri")).alias("namespace")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "namespace")
 
 
-__all__ = ["XSD", "best_definition", "best_label", "catalog_types", "classes", "codelists", "many", "of_type", "one", "primary_namespace", "properties", "qname", "shapes"]
+__all__ = ["XSD", "alternative_labels", "best_definition", "best_label", "catalog_types", "classes", "codelists", "many", "of_type", "one", "primary_namespace", "properties", "qname", "shapes"]
