@@ -68,13 +68,16 @@ def package_names(organization: Column, source: Column, target: Column) -> Colum
     )
 
 
-@F.pandas_udf("string")
-def unescape(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Character references of a text decoded; null stays null."""
+def _unescaped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.map(html.unescape, na_action="ignore")
 
 
+def unescape(c: Column) -> Column:
+    """Character references of a text decoded; null stays null."""
+    return F.pandas_udf(_unescaped, "string")(c)
+
+
 def repaired(actual: Column, expected: Column) -> Column:
     """What an evaluator called a source, decoded; the expected name where only its prefix is missing."""
     plain = F.when(F.instr(actual, "&") > 0, unescape(actual)).otherwise(actual)
