@@ -13,7 +13,7 @@ from crosswalk.functions.names import is_full_iri
 from crosswalk.functions.values import real_target
 from crosswalk.operators.catalog import owners
 from crosswalk.operators.decide import emitted_action
-from crosswalk.operators.graph import chains, nearest_kept
+from crosswalk.operators.graph import first_kept
 
 EMITTED = ("reuse", "extend", "augment")
 
@@ -83,7 +83,7 @@ def unassigned(properties: DataFrame, shapes: DataFrame, act: DataFrame, primary
 def redirected(classes: DataFrame, mappings: DataFrame) -> DataFrame:
     """(qname, stands): each class and the class that stands for it: itself, or for an excluded one its nearest ancestor that is not."""
     out = mappings.where(emitted_action(F.col("action"), F.col("status")) == "exclude").select(F.col("concept").alias("node"))
-    near = nearest_kept(chains(classes.select(F.col("qname").alias("node"), F.col("parent"))), out)
+    near = first_kept(classes.select(F.col("qname").alias("node"), F.col("parent")), out)
     return near.select(F.col("node").alias("qname"), F.coalesce("nearest", "node").alias("stands"))
 
 

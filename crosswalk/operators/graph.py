@@ -87,6 +87,46 @@ def nearest_kept(chain: DataFrame, excluded: DataFrame) -> DataFrame:
     return chain.select("node").join(kept.groupBy("node").agg(F.min_by("x", "d").alias("nearest")), "node", "left")
 
 
+def first_kept(edges: DataFrame, excluded: DataFrame) -> DataFrame:
+    """As :func:`nearest_kept`, from (node, parent) with a parent each at most, without chains: each node carries only the node that it points at.
+
+    A node points at itself if it is kept, else at its parent; pointers at excluded nodes jump to what those point at, twice as far each round. What still points at
+    an excluded node once jumps are longer than there are excluded nodes goes round a cycle, and has none.
+    """
+    out = excluded.select(F.col("node").alias("__x")).distinct()
+    up = edges.groupBy("node").agg(F.min("parent").alias("parent")).join(out, F.col("node") == F.col("__x"), "left")
+    own = up.select("node", F.when(F.col("__x").isNull(), F.col("node")).otherwise(F.col("parent")).alias("at"), F.col("__x").isNotNull().alias("out"))
+    open_ = own.join(out, F.col("at") == F.col("__x"), "left").select("node", "at", F.col("__x").isNotNull().alias("open"))
+    state = cut(open_)
+    reach, n = 1, state.where("open").count()
+    while n and reach <= 2 * n and not state.where("open").isEmpty():
+        to = state.select(F.col("node").alias("at"), F.col("at").alias("__to"), F.col("open").alias("__open"), F.lit(True).alias("__is"))
+        moved = state.where("open").join(to, "at", "left")
+        # an excluded node without a row has no parent, so nothing is nearest
+        jumped = moved.select("node", F.col("__to").alias("at"), F.coalesce("__open", F.lit(False)).alias("open"))
+        state, reach = cut(state.where("not open").unionByName(jumped)), reach * 2
+    return state.select("node", F.when(~F.col("open"), F.col("at")).alias("nearest"))
+
+
+def chains_recursive(edges: DataFrame, levels: int = 100) -> DataFrame:
+    """As :func:`chains`, by a recursive query of Spark: a step of all chains each round, in one job without written rounds. A chain of over ``levels`` is an error of Spark's; :func:`chains` has no such bound."""
+    spark = edges.sparkSession
+    e = edges.where("parent is not null").groupBy("node").agg(F.min("parent").alias("parent"))
+    kind = f"array<{dict(e.dtypes)['parent']}>"
+    before = spark.conf.get("spark.sql.cteRecursionLevelLimit")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(levels))
+    try:
+        found = cut(spark.sql(
+            """WITH RECURSIVE up(node, chain, last) AS (
+ SELECT node, array(parent), parent FROM {e} WHERE parent <> node
+ UNION ALL SELECT up.node, concat(up.chain, array(p.parent)), p.parent FROM up JOIN {e} p ON p.node = up.last WHERE p.parent <> up.node AND NOT array_contains(up.chain, p.parent))
+SELECT node, max_by(chain, size(chain)) AS chain FROM up GROUP BY node""", e=e,
+        ))
+    finally:
+        spark.conf.set("spark.sql.cteRecursionLevelLimit", before)
+    return edges.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("chain", F.array().cast(kind)).alias("chain"))
+
+
 def reachable(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Nodes (root, node, depth) within ``depth`` directed steps of each root (root), at their least depth."""
     seen = front = start.select("root", F.col("root").alias("node")).distinct().withColumn("depth", F.lit(0))

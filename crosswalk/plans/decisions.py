@@ -230,7 +230,7 @@ def inheritance_chain(spark, d):
 
 @query(_TREE + " SELECT node, nearest FROM (SELECT p_partkey AS node FROM part) LEFT JOIN (SELECT node, arg_min(up, d) AS nearest FROM c WHERE up NOT IN (SELECT p_partkey FROM part WHERE p_size % 3 = 0) GROUP BY node) USING (node)")
 def nearest_emitted_ancestor(spark, d):
-    return graph.nearest_kept(graph.chains(_tree(spark, d)), table(spark, d, "part").where("p_size % 3 = 0").select(F.col("p_partkey").alias("node")))
+    return graph.first_kept(_tree(spark, d), table(spark, d, "part").where("p_size % 3 = 0").select(F.col("p_partkey").alias("node")))
 
 
 @query("""SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 1 FROM nation

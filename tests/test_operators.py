@@ -67,6 +67,14 @@ def test_chains_end_at_cycles_and_missing_parents(spark):
     assert dict(rows(near)) == {"A": None, "B": None, "C": None, "D": None, "E": "E", "F": "F"}
 
 
+def test_pointers_and_recursive_chains_equal_chains(spark):
+    e = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("D", "C"), ("E", None), ("F", "gone"), ("G", "F"), ("H", "G"), ("I", "H"), ("S", "S"), *[(f"n{i}", f"n{i - 1}" if i else None) for i in range(40)]], "node string, parent string")
+    assert dict(rows(graph.chains_recursive(e))) == dict(rows(graph.chains(e)))
+    for names in (["A", "D", "C", "B"], [], ["F", "G", "H"], ["F", "G", "H", "gone"], ["A", "C", "S"], [f"n{i}" for i in range(1, 39)], [f"n{i}" for i in range(40)]):
+        out = spark.createDataFrame([(x,) for x in names], "node string")
+        assert dict(rows(graph.first_kept(e, out))) == dict(rows(graph.nearest_kept(graph.chains(e), out))), names
+
+
 def test_long_chain(spark):
     e = spark.range(60).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
     assert graph.chains(e).where("node = 59").first()["chain"] == list(range(58, -1, -1))
