@@ -1,4 +1,4 @@
-"""The queries of this module against their SQL on the smallest tables, when these are there."""
+"""The queries of these modules against their SQL on the smallest tables, when these are there."""
 
 from pathlib import Path
 
@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 
 from crosswalk.operators import vector_index
-from crosswalk.plans import validation
+from crosswalk.plans import reviews, sources, validation
 
 D = Path("/root/testdata/sf0.001")
+QUERIES, SQL = reviews.QUERIES | sources.QUERIES | validation.QUERIES, reviews.SQL | sources.SQL | validation.SQL
 
 
 def plain(v):
@@ -16,14 +17,14 @@ def plain(v):
 
 
 @pytest.mark.skipif(not D.is_dir(), reason="no tables")
-@pytest.mark.parametrize("name", sorted(validation.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
     for p in D.glob("*.parquet"):
         c.execute(f"create view {p.stem} as select * from '{p}'")
-    df = validation.QUERIES[name](spark, str(D))
-    r = c.execute(validation.SQL[name])
+    df = QUERIES[name](spark, str(D))
+    r = c.execute(SQL[name])
     cols = [x[0] for x in r.description]
     assert sorted(cols) == sorted(df.columns)
     want = sorted((tuple(map(plain, x)) for x in r.fetchall()), key=repr)
