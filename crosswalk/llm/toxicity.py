@@ -33,7 +33,7 @@ NEAR_BYTES = 1 << 13
 PIECES = (6, 8, 10, 14)
 #: a piece tells if it shortens windows of so many toxic documents, of so many times the share of ordinary ones, and the shares differ by so many
 #: deviations; groups so alike in cost become one
-LEAST_DOCS, APART, SURE, ALIKE = 3, 4, 6.5, 1.2
+LEAST_DOCS, APART, SURE, ALIKE = 3, 4, 6.0, 1.2
 #: one in so many windows of a text, from all of it, chooses its group; rows of either class that a group needs for odds of its own
 SPREAD, ENOUGH = 12, 10
 #: distances are clipped to these for their log odds
