@@ -110,14 +110,20 @@ def emitting_identities(uses: DataFrame, owner_rows: DataFrame, act: DataFrame,
 
     The emitting leaf or else the context, if it owns the property; else every owner; else the context for a property that the source doesn't
     declare; else none, which is emitted as reuse is.
+
+    Owners are looked up before a use meets all of them, so only uses that have none of their own are multiplied, and no such row is dealt again.
     """
-    u = uses.distinct()
-    o = u.join(owner_rows, "property", "left").withColumn("rank", F.when(F.col("owner") == F.col("leaf"), 0).when(F.col("owner") == F.col("context"), 1).when(F.col("owner").isNotNull(), 2))
-    best = o.withColumn("least", F.min("rank").over(Window.partitionBy("context", "leaf", "property"))).where(F.col("rank").eqNullSafe(F.col("least"))).select("context", "leaf", "property", "owner")
-    known = declared_rows.select(F.col("qname").alias("property"), F.lit(True).alias("known")).distinct()
-    named = best.join(known, "property", "left").withColumn("owner", F.when(F.col("owner").isNull() & F.col("known").isNull(), F.col("context")).otherwise(F.col("owner")))
-    got = named.join(act.select(F.col("qname").alias("owner"), "action"), "owner", "left")
-    return got.select("context", "leaf", "property", "owner", F.when(F.col("owner").isNull(), "reuse").otherwise(F.col("action")).alias("action")).distinct()
+    u, pairs, acts = uses.distinct(), owner_rows.select("property", "owner").distinct(), act.select(F.col("qname").alias("owner"), "action").distinct()
+    has = lambda c: pairs.select("property", F.col("owner").alias(c), F.lit(True).alias(f"__{c}"))
+    flags = declared_rows.select(F.col("qname").alias("property"), F.lit(True).alias("known"), F.lit(False).alias("owned")).unionByName(pairs.select("property", F.lit(False).alias("known"), F.lit(True).alias("owned")))
+    flags = flags.groupBy("property").agg(F.max("known").alias("__known"), F.max("owned").alias("__owned"))
+    looked = u.join(has("leaf"), ["property", "leaf"], "left").join(has("context"), ["property", "context"], "left").join(flags, "property", "left")
+    own, owned_ = F.when(F.col("__leaf"), F.col("leaf")).when(F.col("__context"), F.col("context")), F.coalesce("__owned", F.lit(False))
+    looked = looked.select("context", "leaf", "property", own.alias("own"), owned_.alias("owned"), F.coalesce("__known", F.lit(False)).alias("known"))
+    # at most one owner, or all owners of the property
+    one = looked.where("own is not null or not owned").select("context", "leaf", "property", F.coalesce("own", F.when(~F.col("known"), F.col("context"))).alias("owner")).join(acts, "owner", "left")
+    many = looked.where("own is null and owned").select("context", "leaf", "property").join(pairs.join(acts, "owner", "left"), "property")
+    return one.select("context", "leaf", "property", "owner", F.when(F.col("owner").isNull(), "reuse").otherwise(F.col("action")).alias("action")).unionByName(many.select("context", "leaf", "property", "owner", "action"))
 
 
 def undeclared_paths(paths: DataFrame, subjects: DataFrame, namespaces: list[str]) -> DataFrame:
