@@ -104,7 +104,7 @@ def xml_statements(spark, d):
 
 @query(_DOC)
 def json_statements(spark, d):
-    p = table(spark, d, "part")
+    p = table(spark, d, "part").repartition("p_partkey")  # a small file is one task's, and parsing is the work
     context = F.lit('{"@vocab": "http://e.test/ns#", "xsd": "' + XSD + '", "size": {"@type": "xsd:integer"}, "name": {"@language": "en"}, "brand": {"@type": "@id"}, "part": "http://e.test/part#"}')
     own = F.to_json(F.struct(F.concat(F.lit("part:P"), F.col("p_partkey").cast("string")).alias("@id"), F.lit("Part").alias("@type"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.concat(F.lit("http://e.test/brand/"), F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("brand")))
     return _short(rdf_formats.parse_column(p.select(F.concat(F.lit('{"@context": '), context, F.lit(', "@graph": ['), own, F.lit("]}")).alias("text"), F.col("p_partkey").cast("string").alias("graph")), "json-ld"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -173,6 +173,20 @@ def triples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return files.mapInPandas(run, TRIPLE).dropDuplicates()
 
 
+def frames(batches: Iterator[pd.DataFrame], text: str, graph: str, read: Callable[[str, str], Iterable[tuple]], rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """What ``read`` gives for each text that isn't null, ``rows`` triples at a time: those of small texts together, those of a large one apart."""
+    names, part = [x.split()[0] for x in TRIPLE.split(", ")], []
+    for pdf in batches:
+        for x, g in zip(pdf[text], pdf[graph], strict=True):
+            for t in read(x, g) if x is not None else ():
+                part.append(t)
+                if len(part) == rows:
+                    yield pd.DataFrame(part, columns=names)
+                    part = []
+    if part:
+        yield pd.DataFrame(part, columns=names)
+
+
 def parse_column(texts: DataFrame, text: str = "text", graph: str = "graph") -> DataFrame:
     """Distinct triples of Turtle texts, one a row, each with the name of its graph; blank nodes are named apart for each. A null text has none."""
 
