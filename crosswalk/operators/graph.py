@@ -34,16 +34,21 @@ def root_first(chain: DataFrame) -> DataFrame:
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
-    """Distinct (node, ancestor) of nodes with any number of parents (node, parent); a node is not its own ancestor, cycles or not."""
-    e = cut(edges.where("parent is not null and parent <> node").select("node", "parent").distinct())
-    seen = front = e.select("node", F.col("parent").alias("ancestor"))
+    """Distinct (node, ancestor) of nodes with any number of parents (node, parent); a node is not its own ancestor, cycles or not.
+
+    Reach doubles each round: pairs at the largest distance so far, and only these, go on by all pairs. A pair at distance d in (r, 2r] has a node at distance r on a
+    shortest path, so none is missed, and a pair is met once for each such node, not for each node between.
+    """
+    seen = cut(edges.where("parent is not null and parent <> node").select("node", F.col("parent").alias("ancestor")).distinct()).withColumn("__far", F.lit(True))
     while True:
-        # pairs double their reach each round
-        step = seen.join(seen.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further")), "ancestor").select("node", F.col("further").alias("ancestor"))
-        front = cut(step.where("node <> ancestor").distinct().join(seen, ["node", "ancestor"], "left_anti"))
+        on = seen.select(F.col("node").alias("__at"), F.col("ancestor").alias("__to"), "__far")
+        step = seen.where("__far").select("node", F.col("ancestor").alias("__at")).join(on, "__at").where(F.col("node") != F.col("__to"))
+        # all at the new distance came by two whole reaches; what a shorter way leads to is nearer
+        met = step.groupBy("node", F.col("__to").alias("ancestor")).agg(F.min("__far").alias("__far"))
+        front = cut(met.join(seen.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
         if front.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(front))
+            return seen.select("node", "ancestor")
+        seen = seen.withColumn("__far", F.lit(False)).unionByName(front)
 
 
 def closure(roots: DataFrame, references: DataFrame, stop: DataFrame | None = None) -> DataFrame:
