@@ -82,12 +82,14 @@ def reachable_properties(types: DataFrame, definitions: DataFrame, depth: int =
 
 
 def cardinality_map(rows: DataFrame) -> DataFrame:
-    """Bounds (type, name, min, max as text, pos) as a map a type: no number is a least of 0, nothing is unbounded; of repeated names the last counts. Rows without type or name are left out."""
-    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    """Bounds (type, name, min, max as text, pos) as a map a type: no number is a least of 0, nothing is unbounded; of repeated names the last counts, and of those at the same pos the first by ``at``, if rows have it. Rows without type or name are left out."""
+    text, tie = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))), ["at"] if "at" in rows.columns else []
     lo = F.when(text("min").rlike(r"^\d+$"), text("min").cast("int")).otherwise(0)
     hi = F.when(F.col("max").isNull(), "unbounded").otherwise(text("max"))
-    some = rows.select(text("type").alias("type"), text("name").alias("name"), F.struct(lo.alias("min"), hi.alias("max")).alias("bounds"), "pos").where("type <> '' and name <> ''")
-    last = some.groupBy("type", "name").agg(F.max_by("bounds", "pos").alias("bounds"))
+    some = rows.select(text("type").alias("type"), text("name").alias("name"), F.struct(lo.alias("min"), hi.alias("max")).alias("bounds"), "pos", *tie).where("type <> '' and name <> ''")
+    # the greatest pos, not a number being the greatest, then the least at
+    first = F.when(F.col("pos").isNotNull(), F.struct(~F.isnan("pos"), -F.col("pos"), *tie))
+    last = some.groupBy("type", "name").agg((F.min_by("bounds", first) if tie else F.max_by("bounds", "pos")).alias("bounds"))
     return last.groupBy("type").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "bounds")))).alias("cardinalities"))
 
 

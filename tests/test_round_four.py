@@ -4,8 +4,10 @@ import json
 import random
 
 import pandas as pd
+import pytest
 
 from crosswalk.operators import active, graph
+from crosswalk.plans import packages
 from crosswalk.sources import rdf, rdf_formats
 
 
@@ -65,3 +67,15 @@ def test_pairs_of_a_lattice_are_not_met_by_every_node_between(spark):
     before = shuffled(spark)
     n = graph.ancestors(e).count()
     assert (shuffled(spark) - before) / n < 45
+
+
+def test_bounds_at_equal_prices_are_those_of_the_first_row(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(5)
+    rows = [(i, r.randrange(9), 0, r.randrange(1, 3), float(r.randrange(50)), r.choice([1.0, 2.0, 3.0]), r.choice("ANR"), r.choice("FO")) for i in range(200)]
+    columns = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_returnflag l_linestatus".split()
+    pd.DataFrame(rows, columns=columns).to_parquet(tmp_path / "lineitem.parquet")
+    c = duckdb.connect()
+    c.execute("set threads = 1")
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    assert sorted(map(tuple, packages.cardinality_map(spark, str(tmp_path)).select("type", "bounds").collect())) == sorted(c.execute(packages.SQL["cardinality_map"]).fetchall())
