@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: queries of a block that are multiplied at once
+_AT_ONCE = 256
+
+
 def embedding_text(ident: Column, label: Column, definition: Column, context: Column) -> Column:
     """Label, or else the id, then definition and context, without the empty ones."""
     nz = lambda c: F.nullif(c, F.lit(""))
@@ -20,34 +24,39 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def top_k(queries: DataFrame, targets: DataFrame, k: int, eligible: Column | None = None, query_block: int = 2048, digits: int = 6) -> DataFrame:
+def top_k(queries: DataFrame, targets: DataFrame, k: int, eligible: Column | None = None, query_block: int = 2048, digits: int = 6, target_block: int = 8192) -> DataFrame:
     """q, t, score and rank of the ``k`` best targets of every query, by inner product, ties by target id.
 
     ``queries`` and ``targets`` have id and vec; ``eligible`` is a condition on targets and is met before ranks are given. Queries are taken in blocks of
-    ``query_block`` that meet every target partition as one matrix product; a partition passes its ``k`` best of each query on, and
+    ``query_block`` and targets in blocks of ``target_block``; every two blocks meet in a task, which holds no more than these, and pass the ``k`` best of each query on;
     the best of these are ranked. Scores are rounded to ``digits``. Rows with a null vector are in no result.
     """
     chosen = (targets.where(eligible) if eligible is not None else targets).where("vec is not null and id is not null").select(F.col("id").alias("t"), F.col("vec").alias("tv"))
     asked = queries.where("vec is not null and id is not null").select(F.col("id").alias("q"), F.col("vec").alias("qv"))
     kinds = {c: t for c, t in (*asked.dtypes, *chosen.dtypes)}
-    # a block of queries is one row, so each target partition gets each block once
-    blocks = asked.groupBy(F.pmod(F.xxhash64("q"), F.greatest(F.lit(1), F.ceil(F.lit(asked.count()) / query_block)).cast("long")).alias("b")).agg(F.collect_list(F.struct("q", "qv")).alias("qs"))
-    packed = chosen.groupBy(F.pmod(F.xxhash64("t"), F.lit(max(1, -(-chosen.count() // 8192)))).alias("p")).agg(F.collect_list(F.struct("t", "tv")).alias("ts"))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for qs, ts in zip(batch.column("qs"), batch.column("ts"), strict=True):
-                q, t = qs.values, ts.values
-                qm = np.stack([np.asarray(v.values, float) for v in q.field("qv")])
-                tm = np.stack([np.asarray(v.values, float) for v in t.field("tv")])
-                qi, ti = q.field("q"), np.asarray(t.field("t"))
-                by_id = np.argsort(ti, kind="stable")
-                s = np.round((qm @ tm.T)[:, by_id], digits)
+    # each block of queries meets each block of targets as a pair of groups, and a task holds one pair at a time
+    many = lambda n, size: max(1, -(-n // size))
+    nb, np_ = many(asked.count(), query_block), many(chosen.count(), target_block)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("b", block("q", nb)).withColumn("p", every(np_))
+    right = chosen.withColumn("p", block("t", np_)).withColumn("b", every(nb))
+
+    def best(qs: pa.Table, ts: pa.Table) -> pa.Table:
+        qi, ti, parts = np.asarray(qs["q"]), np.asarray(ts["t"]), []
+        if len(qi) and len(ti):
+            by_id = np.argsort(ti, kind="stable")
+            ti = ti[by_id]
+            tm = np.stack([np.asarray(v.values, float) for v in ts["tv"]])[by_id].T
+            qm = np.stack([np.asarray(v.values, float) for v in qs["qv"]])
+            for at in range(0, len(qi), _AT_ONCE):
+                s = np.round(qm[at : at + _AT_ONCE] @ tm, digits)
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                n = top.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(qi), n)), pa.array(ti[by_id][top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["q", "t", "score"])
+                parts.append((np.repeat(qi[at : at + _AT_ONCE], top.shape[1]), ti[top].ravel(), np.take_along_axis(s, top, 1).ravel()))
+        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [qi[:0], ti[:0], np.zeros(0)]
+        return pa.table([pa.array(cols[0], type=qs.schema.field("q").type), pa.array(cols[1], type=ts.schema.field("t").type), pa.array(cols[2])], names=["q", "t", "score"])
 
-    found = packed.join(blocks).select("qs", "ts").mapInArrow(best, f"q {kinds['q']}, t {kinds['t']}, score double")
+    found = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInArrow(best, f"q {kinds['q']}, t {kinds['t']}, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "t")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

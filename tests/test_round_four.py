@@ -6,7 +6,7 @@ import random
 import pandas as pd
 import pytest
 
-from crosswalk.operators import active, graph
+from crosswalk.operators import active, graph, search
 from crosswalk.plans import packages
 from crosswalk.sources import rdf, rdf_formats
 
@@ -79,3 +79,11 @@ def test_bounds_at_equal_prices_are_those_of_the_first_row(spark, tmp_path):
     c.execute("set threads = 1")
     c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
     assert sorted(map(tuple, packages.cardinality_map(spark, str(tmp_path)).select("type", "bounds").collect())) == sorted(c.execute(packages.SQL["cardinality_map"]).fetchall())
+
+
+def test_blocks_of_queries_and_targets_meet_in_pairs(spark):
+    v = spark.range(90).selectExpr("id", "transform(sequence(0, 5), i -> cast((id * 37 + i * i * 11) % 19 - 9 as float)) AS vec").cache()
+    q, t = v.where("id % 3 = 0"), v.where("id % 3 <> 0")
+    few, many = search.top_k(q, t, 4), search.top_k(q, t, 4, query_block=7, target_block=11)
+    assert "FlatMapCoGroupsInArrow" in many._jdf.queryExecution().toString()
+    assert few.count() == 120 and sorted(few.collect()) == sorted(many.collect())
