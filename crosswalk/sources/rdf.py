@@ -189,13 +189,7 @@ def frames(batches: Iterator[pd.DataFrame], text: str, graph: str, read: Callabl
 
 def parse_column(texts: DataFrame, text: str = "text", graph: str = "graph") -> DataFrame:
     """Distinct triples of Turtle texts, one a row, each with the name of its graph; blank nodes are named apart for each. A null text has none."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in TRIPLE.split(", ")]
-        for pdf in batches:
-            yield pd.DataFrame([t for x, g in zip(pdf[text], pdf[graph], strict=True) if x is not None for t in Turtle(x, g).parse()], columns=names)
-
-    return texts.select(text, graph).mapInPandas(run, TRIPLE).dropDuplicates()
+    return texts.select(text, graph).mapInPandas(lambda batches: frames(batches, text, graph, lambda x, g: Turtle(x, g).parse()), TRIPLE).dropDuplicates()
 
 
 #: a statement of N-Triples: subject, predicate, object
