@@ -81,12 +81,23 @@ def components(models: DataFrame, xml: str = "xml", key: str | None = None) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in COMPONENT.replace("<property:string,min:string,max:string>", "").replace("<class:string,property:string,min:string,max:string,code:string>", "").replace("<value:string,definition:string>", "").split(", ")]
-        for pdf in batches:
-            rows = [(*([k] if keep else []), *c) for k, t in zip(pdf[key] if keep else [None] * len(pdf), pdf[xml], strict=True) if t is not None for c in _components(t)]
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
             got = pd.DataFrame(rows, columns=[*keep, *names])
             for c, fields in (("members", ("property", "min", "max")), ("augmentations", ("class", "property", "min", "max", "code")), ("values", ("value", "definition"))):
                 got[c] = [[dict(zip(fields, x, strict=True)) for x in v] for v in got[c]]
-            yield got
+            return got
+
+        rows = []
+        for pdf in batches:
+            for k, t in zip(pdf[key] if keep else [None] * len(pdf), pdf[xml], strict=True):
+                for c in _components(t) if t is not None else ():
+                    rows.append((*([k] if keep else []), *c))
+                    if len(rows) == 2000:
+                        yield frame(rows)
+                        rows = []
+        if rows:
+            yield frame(rows)
 
     head = f"{key} {dict(models.dtypes)[key]}, " if key else ""
     return models.select(*keep, xml).mapInPandas(run, head + COMPONENT)

@@ -87,3 +87,16 @@ def test_blocks_of_queries_and_targets_meet_in_pairs(spark):
     few, many = search.top_k(q, t, 4), search.top_k(q, t, 4, query_block=7, target_block=11)
     assert "FlatMapCoGroupsInArrow" in many._jdf.queryExecution().toString()
     assert few.count() == 120 and sorted(few.collect()) == sorted(many.collect())
+
+
+def test_models_and_documents_stay_small_however_many_parts_there_are(spark, tmp_path):
+    part = [(k, "n", "Brand#1", "t", k % 50, 1000.0) for k in range(5000)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    seen, made = [], packages.package.model_xml
+    packages.package.model_xml = lambda *a: seen.append(made(*a)) or seen[-1]
+    try:
+        found = packages._models(spark, str(tmp_path))
+    finally:
+        packages.package.model_xml = made
+    assert seen[0].selectExpr("max(length(xml))").first()[0] < 400_000
+    assert found.where("kind = 'Class'").count() == 5000 and found.where("kind = 'DatatypeProperty'").count() == 50
