@@ -19,13 +19,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosswalk.llm.common import blocks, numbered, used_up, written
+from crosswalk.llm.common import blocks, numbered, release, used_up, written
 
 BUCKETS, DIGITS, ORDER = 10_000, 4_294_967_296, 1
 #: characters of a word, once A-Z are lower-case
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: bytes of text that DuckDB gets at once, and characters of a piece of a longer text
-BLOCK, PIECE = 4 << 20, 1 << 21
+#: bytes of text that DuckDB gets at once, which bounds what a worker holds, and characters of a piece of a longer text
+BLOCK, PIECE = 1 << 20, 1 << 21
 _WORD = re.compile(WORD)
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -90,23 +90,29 @@ def counter(order: int = ORDER, buckets: int = BUCKETS):
     return count
 
 
+_COUNTED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("b", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+
+
+def counted(batches: Iterator[pa.RecordBatch], order: int = ORDER, buckets: int = BUCKETS) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id and text as doc_id, n_words, n_features, b and n, a block of texts after the other."""
+    count = counter(order, buckets)
+    for batch in blocks(batches, max_bytes=BLOCK):
+        got = count(batch.column("text"))
+        at = [None] * batch.num_rows
+        for row, k in enumerate(got["k"].to_pylist()):
+            at[k] = row
+        got = got.take(pa.array(at, pa.int64()))
+        zero = [pyarrow.compute.fill_null(got[c], 0) for c in ("n_words", "n_features")]
+        yield from pa.table([batch.column("doc_id"), *zero, got["b"], got["n"]], schema=_COUNTED).to_batches()
+    # the worker stays for other tasks, its connection does not
+    del count
+    release()
+
+
 def bucket_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_words, n_features and the buckets ``b`` with their counts ``n`` of every row, from the whole text. A null text has no words."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("b", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(order, buckets)
-        for batch in blocks(batches, max_bytes=BLOCK):
-            got = count(batch.column("text"))
-            at = [None] * batch.num_rows
-            for row, k in enumerate(got["k"].to_pylist()):
-                at[k] = row
-            got = got.take(pa.array(at, pa.int64()))
-            zero = [pyarrow.compute.fill_null(got[c], 0) for c in ("n_words", "n_features")]
-            yield from pa.table([batch.column("doc_id"), *zero, got["b"], got["n"]], schema=schema).to_batches()
-
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_features long, b array<int>, n array<long>")
+    return rows.mapInArrow(lambda batches: counted(batches, order, buckets), "doc_id long, n_words long, n_features long, b array<int>, n array<long>")
 
 
 def totals(counts: DataFrame) -> DataFrame:
