@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosswalk.operators.lineage import cut
+from crosswalk.operators.lineage import cut, sent
+
+#: nodes of one step that are sent to all edges
+FRONT = 500_000
 
 
 def chains(edges: DataFrame) -> DataFrame:
@@ -132,14 +135,18 @@ SELECT node, max_by(chain, size(chain)) AS chain FROM up GROUP BY node""", e=e,
     return edges.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("chain", F.array().cast(kind)).alias("chain"))
 
 
-def reachable(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """Nodes (root, node, depth) within ``depth`` directed steps of each root (root), at their least depth."""
+def reachable(start: DataFrame, edges: DataFrame, depth: int, most: int = FRONT) -> DataFrame:
+    """Nodes (root, node, depth) within ``depth`` directed steps of each root (root), at their least depth.
+
+    Edges are read once a step as they are, so repeated ones do no harm; those that are costly to make should be cut. New nodes are sent to them as long as there are ``most`` or fewer, and edges are shuffled only beyond.
+    """
     seen = front = start.select("root", F.col("root").alias("node")).distinct().withColumn("depth", F.lit(0))
-    e = edges.select(F.col("src").alias("node"), F.col("dst")).distinct()
-    if depth > 2:
-        e = cut(e)
+    e = edges.select(F.col("src").alias("node"), F.col("dst"))
     for d in range(1, depth + 1):
-        front = front.join(e, "node").select("root", F.col("dst").alias("node")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(d))
+        at = front.select("root", "node")
+        # of a node's ways, each task keeps one before any is shuffled
+        met = e.join(sent(at, most) if depth > 2 else at, "node").select("root", F.col("dst").alias("node")).distinct()
+        front = met.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(d))
         if depth > 2:
             front = cut(front)
         seen = seen.unionByName(front)
@@ -155,7 +162,9 @@ def shortest(edges: DataFrame, root, most: int = 6) -> DataFrame:
     """Least number of hops from ``root`` to each node within ``most``, along edges either way."""
     spark = edges.sparkSession
     start = spark.createDataFrame([(root,)], f"root {dict(edges.dtypes)['src']}")
-    return reachable(start, undirected(edges), most).select("node", F.col("depth").alias("hops"))
+    e = edges.select("src", "dst")
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return reachable(start, both, most).select("node", F.col("depth").alias("hops"))
 
 
 def subgraph(edges: DataFrame, root, hops: int = 2) -> DataFrame:
