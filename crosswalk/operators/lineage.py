@@ -30,6 +30,11 @@ def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def dealt(df: DataFrame, rows: int, *keys: str, each: int = 500_000) -> DataFrame:
+    """``df``, of which about ``rows`` rows are expected, dealt by ``keys`` to as many tasks as hold about ``each`` of them, whatever the settings: so what a task holds doesn't grow with the table."""
+    return df.repartition(max(1, -(-rows // each)), *keys)
+
+
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """Rows numbered from 1 in an order: sorted in ranges, counted in each, and moved up by the rows of the ranges before."""
     at = cut(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crosswalk.functions.values import real_target
 from crosswalk.operators.decide import latest
+from crosswalk.operators.lineage import dealt
 
 
 def upsert(rows: DataFrame, changes: DataFrame, key: str, nulls: bool = False) -> DataFrame:
@@ -46,13 +47,15 @@ def approve_all(matrix: DataFrame, properties: DataFrame) -> DataFrame:
 
 
 def decide_property(properties: DataFrame, decisions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Applies the latest decision (concept, name, action, target, seq) to each property; one that reuses what a non-empty catalog (key) lacks is an error."""
-    d = latest(decisions.withColumn("__k", F.struct("concept", "name")), "__k", ["seq"]).drop("__k")
+    """Applies the latest decision (concept, name, action, target, seq) to each property; one that reuses what a non-empty catalog (key) lacks is an error. Decisions may be repeated."""
+    rows = properties.count() + decisions.count()
+    d = latest(dealt(decisions, rows, "concept", "name"), ["concept", "name"], ["seq"])
     lost = d.where((F.col("action") == "reuse-property") & real_target(F.col("target"))).join(catalog, d["target"] == catalog["key"], "left_anti").limit(6).collect()
     if lost and not catalog.isEmpty():
         raise ValueError("unknown targets: " + ", ".join(sorted(r["target"] for r in lost)))
     new = d.select("concept", "name", F.col("action").alias("__a"), F.col("target").alias("__t"), F.lit(True).alias("__d"))
-    both = properties.join(new, ["concept", "name"], "left")
+    # dealt alike, so neither side is shuffled again
+    both = dealt(properties, rows, "concept", "name").join(new, ["concept", "name"], "left")
     return both.withColumns({"action": F.coalesce("__a", "action"), "target": F.when(F.col("__d"), F.col("__t")).otherwise(F.col("target")), "reviewStatus": F.when(F.col("__d"), "accepted").otherwise(F.col("reviewStatus"))}).drop("__a", "__t", "__d")
 
 

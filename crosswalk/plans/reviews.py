@@ -93,7 +93,7 @@ def decided_properties(spark, d):
     p = matrix(spark, d)[1].withColumn("reviewStatus", F.lit("pending-review"))
     first = p.where("guess").select("concept", "name", F.lit("reuse-property").alias("action"), F.lit("nc:nowhere").alias("target"), F.lit(1).alias("seq"))
     last = first.select("concept", "name", F.lit("create-property").alias("action"), F.lit(None).cast("string").alias("target"), F.lit(2).alias("seq"))
-    return review.decide_property(p, first.unionByName(last).distinct(), has.select(F.col("property").alias("key")).distinct()).select("concept", "name", "action", "target", F.col("reviewStatus").alias("status"))
+    return review.decide_property(p, first.unionByName(last), has.select(F.col("property").alias("key")).distinct()).select("concept", "name", "action", "target", F.col("reviewStatus").alias("status"))
 
 
 @query("""SELECT o_orderkey, o_orderkey % 9 AS number, CASE WHEN o_orderkey % 9 >= 5 THEN 'pending' ELSE 'completed' END AS status, CASE WHEN o_orderkey % 9 < 5 THEN o_totalprice END AS completed_at FROM orders""")

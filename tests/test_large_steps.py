@@ -1,6 +1,8 @@
 """Steps on larger tables: what they shuffle, read and hold grows no faster than the tables."""
 
-from crosswalk.operators import graph
+from pyspark.sql import functions as F
+
+from crosswalk.operators import graph, review
 
 
 def shuffled(spark, job) -> int:
@@ -30,3 +32,16 @@ def test_paths_do_not_shuffle_edges(spark):
     start = spark.createDataFrame([(250,), (17,)], "root long")
     rows = lambda most: sorted(map(tuple, graph.reachable(start, both, 4, most).collect()))
     assert rows(0) == rows(1) == rows(100) and len(rows(0)) == 18
+
+
+def test_decisions_are_dealt_by_their_number(spark):
+    p = spark.range(1_200_000).selectExpr("concat('c', id) as concept", "concat('n', id % 3) as name", "'human-must-decide' as action", "'t' as target", "'pending-review' as reviewStatus")
+    d = p.where("substr(concept, 2) % 2 = 0").selectExpr("concept", "name", "'create-property' as action", "cast(null as string) as target", "1 as seq")
+    got = review.decide_property(p, d.unionByName(d), spark.createDataFrame([("t",)], "key string"))
+    # 2.4 million rows, so five tasks, though sessions shuffle to four and coalesce small ones
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert got.select(F.spark_partition_id()).distinct().count() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, got.groupBy("action", "target", "reviewStatus").count().collect()), key=str) == [("create-property", None, "accepted", 600_000), ("human-must-decide", "t", "pending-review", 600_000)]
