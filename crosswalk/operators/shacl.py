@@ -142,7 +142,8 @@ class Validator:
         null = F.lit(None).cast("string")
         lang, kind = (F.col(c) if c in data.columns else null for c in ("o_lang", "s_kind"))
         own = F.coalesce(kind, F.when(F.col("s").startswith("_:"), "bnode").otherwise("iri"))
-        self.edges = data.select(_node(F.col("s"), own, null, null).alias("s"), "p", _node(F.col("o"), F.col("o_kind"), F.col("o_datatype"), lang).alias("o")).distinct()
+        # every walk and component reads the edges, so they are made distinct once
+        self.edges = cut(data.select(_node(F.col("s"), own, null, null).alias("s"), "p", _node(F.col("o"), F.col("o_kind"), F.col("o_datatype"), lang).alias("o")).distinct())
         named = {c for s in graph.shapes.values() for k, c in s.targets if k == "class"} | {v for s in graph.shapes.values() for c, v, _ in s.checks if c == "class"}
         types = self.edges.where(F.col("p") == RDF + "type").select(F.col("s").alias("node"), F.col("o.value").alias("type"))
         below = ancestors(data.where(F.col("p") == RDFS + "subClassOf").select(F.col("s").alias("node"), F.col("o").alias("parent"))).select(F.col("node").alias("type"), F.col("ancestor").alias("class"))
@@ -275,7 +276,9 @@ class Validator:
     def results(self) -> DataFrame:
         """RESULT rows of every target. Failures inside of or, and, xone, not and node count only there."""
         by_depth = [[s for s in self.graph.shapes.values() if self.graph.level[s.name] == d] for d in range(self.graph.depth)]
-        focus = self.targets().withColumn("told", F.lit(True))
+        focus = cut(self.targets().withColumn("told", F.lit(True)))
+        # what a property shape finds is told there; that it fails its parent matters only where other shapes ask for that
+        asks = {m for s in self.graph.shapes.values() for _, _, m in s.members}
         rounds = []
         for shapes in by_depth:  # values, from the targets down
             here = cut(focus.join(F.broadcast(self.table([(s.name,) for s in shapes], "shape string")), "shape").groupBy("shape", "focus").agg(F.bool_or("told").alias("told")))
@@ -285,13 +288,14 @@ class Validator:
             rounds.append((shapes, here, values, asked))
             if any(s.members for s in shapes):
                 onward = asked.join(here, ["shape", "focus"]).select(F.col("member").alias("shape"), F.col("value").alias("focus"), (F.col("told") & (F.col("component") == "property")).alias("told"))
-                focus = focus.unionByName(onward)
+                focus = focus.unionByName(cut(onward))
         failed = out = None
         for shapes, here, values, asked in reversed(rounds):  # failures, from the innermost up
             found = self.judged(here.select("shape", "focus"), values, shapes)
             if failed is not None and any(s.members for s in shapes):
                 bad = failed.select(F.col("shape").alias("member"), F.col("focus").alias("value"), F.lit(1).alias("bad"))
-                n = asked.join(bad, ["member", "value"], "left").groupBy("shape", "focus", "value", "component", "k").agg(F.count("*").alias("n"), F.count("bad").alias("bad"))
+                kept = asked.where((F.col("component") != "property") | F.col("shape").isin(*[s.name for s in shapes if s.name in asks]))
+                n = kept.join(bad, ["member", "value"], "left").groupBy("shape", "focus", "value", "component", "k").agg(F.count("*").alias("n"), F.count("bad").alias("bad"))
                 c, ok = F.col("component"), F.col("n") - F.col("bad")
                 fails = F.when(c == "or", ok == 0).when(c == "xone", ok != 1).when(c == "not", F.col("bad") == 0).otherwise(F.col("bad") > 0)
                 found = found.unionByName(n.where(fails).select("shape", "focus", "value", "component").distinct())

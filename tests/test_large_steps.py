@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from crosswalk.operators import graph, review
+from crosswalk.operators import graph, review, shacl
+from crosswalk.sources.rdf import parse_text
 
 
 def shuffled(spark, job) -> int:
@@ -45,3 +46,15 @@ def test_decisions_are_dealt_by_their_number(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(map(tuple, got.groupBy("action", "target", "reviewStatus").count().collect()), key=str) == [("create-property", None, "accepted", 600_000), ("human-must-decide", "t", "pending-review", 600_000)]
+
+
+def test_shapes_read_edges_once(spark):
+    node = spark.range(20_000)
+    link = node.selectExpr("concat('x:a', id) as s", "'x:next' as p", "concat('x:a', id + 1) as o", "'iri' as o_kind", "cast(null as string) as o_datatype")
+    typed = node.selectExpr("concat('x:a', id) as s", f"'{shacl.RDF}type' as p", "'x:A' as o", "'iri' as o_kind", "cast(null as string) as o_datatype")
+    shapes = parse_text(spark, """@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix x: <x:> .
+x:S a sh:NodeShape ; sh:targetClass x:A ; sh:property [ sh:path x:next ; sh:class x:A ] ; sh:property [ sh:path ( x:next x:next ) ; sh:minCount 1 ] ; sh:property [ sh:path x:next ; sh:maxCount 1 ] .""", "shapes")
+    got = []
+    n = shuffled(spark, lambda: got.extend(shacl.validate(link.unionByName(typed), shapes).collect()))
+    assert sorted((r["focus"], r["component"]) for r in got) == [("x:a19999", "class"), ("x:a19999", "minCount")]
+    assert n < 5_500_000
