@@ -63,21 +63,24 @@ def reachable_properties(types: DataFrame, definitions: DataFrame, depth: int =
 
     Each type is entered at its least depth, and a name counts once, at its least; ties go to the first via and path in order. Composition ends at value types, the root type and types that are not listed.
     """
-    from crosswalk.operators.lineage import cut
+    from crosswalk.operators.lineage import cut, dealt, sent
 
     up = cut(lineage(types).select("qname", "of"))
     ends = terminal_types(types)
     d = definitions.select("type", "name", "qualified", "qualifiedType").distinct()
     step = d.where("qualifiedType is not null").join(ends.select(F.col("qname").alias("qualifiedType")), "qualifiedType", "left_anti").select(F.col("type").alias("of"), F.col("name").alias("by"), "qualifiedType")
+    # few types are types of properties, and each of them is entered by many
+    onto = sent(cut(up.join(step.select(F.col("qualifiedType").alias("qname")).distinct(), "qname", "left_semi")))
     join_path = lambda p, n: F.when(p == "", n).otherwise(F.concat(p, F.lit("/"), n))
     seen = front = up.select(F.col("qname").alias("type"), "of", F.lit("").alias("path"), F.lit(0).alias("depth"))
     for k in range(1, depth + 1):
         entered = front.join(step, "of").select("type", F.col("qualifiedType").alias("qname"), join_path(F.col("path"), F.col("by")).alias("path"))
-        grown = entered.join(up, "qname").groupBy("type", "of").agg(F.min("path").alias("path")).withColumn("depth", F.lit(k))
+        grown = entered.join(onto, "qname").groupBy("type", "of").agg(F.min("path").alias("path")).withColumn("depth", F.lit(k))
         front = cut(grown.join(seen.select("type", "of"), ["type", "of"], "left_anti"))
         seen = seen.unionByName(front)
     found = seen.join(d.withColumnRenamed("type", "of"), "of").withColumn("path", join_path(F.col("path"), F.col("name")))
-    best = first_by(found, ["type", "name"], "depth", "of", "path", "qualified")
+    # rows of a task are sorted, so their number is bound
+    best = first_by(dealt(found, seen.count(), "type", "name"), ["type", "name"], "depth", "of", "path", "qualified")
     return best.select("type", "name", "qualified", "qualifiedType", "depth", F.col("of").alias("via"), "path")
 
 
