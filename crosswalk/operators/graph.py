@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosswalk.operators.lineage import cut, sent
+from crosswalk.operators.lineage import cut, dealt, sent
 
 #: nodes of one step that are sent to all edges
 FRONT = 500_000
+#: edges of a hierarchy that is searched as a whole
+CORE = 100_000
+#: edges of a layer, each with its parent's ancestors, that a task holds
+EACH = 100_000
 
 
 def chains(edges: DataFrame) -> DataFrame:
@@ -36,13 +40,42 @@ def root_first(chain: DataFrame) -> DataFrame:
     return chain.select("node", F.concat(F.reverse("chain"), F.array("node")).alias("chain"))
 
 
-def ancestors(edges: DataFrame) -> DataFrame:
+def ancestors(edges: DataFrame, core: int = CORE) -> DataFrame:
     """Distinct (node, ancestor) of nodes with any number of parents (node, parent); a node is not its own ancestor, cycles or not.
 
+    Of more than ``core`` edges, nodes that nobody has as a parent are taken off in layers while that takes a quarter of the edges or more; what is left, cycles and long
+    chains too, is searched in pairs. Each layer then takes its parents' ancestors, which travel as a list a node, so the many pairs of the lowest layers are neither
+    compared with all pairs nor kept: those of the last one are made as they are read.
+    """
+    rest = cut(edges.where("parent is not null and parent <> node").select("node", "parent").distinct())
+    layers, n = [], rest.count()
+    while n > core:
+        above = rest.select(F.col("parent").alias("node"), F.lit(True).alias("__above")).distinct()
+        both = cut(rest.join(above, "node", "left"))
+        m = both.where("__above").count()
+        if m > 0.75 * n:
+            break
+        layers.append((both.where("__above is null").drop("__above"), n - m))
+        rest, n = both.where("__above").drop("__above"), m
+    found = _pairs(rest)
+    if not layers:
+        return found
+    of = cut(found.groupBy("node").agg(F.collect_list("ancestor").alias("of")))
+    while layers:
+        low, rows = layers.pop()
+        up = low.join(of.select(F.col("node").alias("parent"), "of"), "parent", "left").select("node", F.concat(F.array("parent"), F.coalesce("of", F.array())).alias("of"))
+        own = dealt(up, rows, "node", each=EACH).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("of"))).alias("of"))
+        of = of.unionByName(cut(own) if layers else own)
+    return of.select("node", F.explode("of").alias("ancestor"))
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    """(node, ancestor) of distinct (node, parent) without loops.
+
     Reach doubles each round: pairs at the largest distance so far, and only these, go on by all pairs. A pair at distance d in (r, 2r] has a node at distance r on a
     shortest path, so none is missed, and a pair is met once for each such node, not for each node between.
     """
-    seen = cut(edges.where("parent is not null and parent <> node").select("node", F.col("parent").alias("ancestor")).distinct()).withColumn("__far", F.lit(True))
+    seen = edges.select("node", F.col("parent").alias("ancestor")).withColumn("__far", F.lit(True))
     while True:
         on = seen.select(F.col("node").alias("__at"), F.col("ancestor").alias("__to"), "__far")
         step = seen.where("__far").select("node", F.col("ancestor").alias("__at")).join(on, "__at").where(F.col("node") != F.col("__to"))
