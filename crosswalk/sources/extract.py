@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crosswalk.functions.values import language_rank, shacl_severity
 from crosswalk.operators.catalog import first_by
+from crosswalk.operators.lineage import cut
 from crosswalk.sources.rdf import RDF, XSD
 
 RDFS, OWL, SH, SKOS = "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#", "http://www.w3.org/ns/shacl#", "http://www.w3.org/2004/02/skos/core#"
@@ -70,15 +71,21 @@ def codelists(t: DataFrame) -> DataFrame:
 
 
 def shapes(t: DataFrame, namespaces: dict[str, str]) -> DataFrame:
-    """A row for each property constraint of each shape: shape, class, path, min, max, datatype, deactivated, severity. A path that is no IRI is null."""
-    link = t.where(F.col("p") == SH + "property").select(F.col("s").alias("shape"), F.col("o").alias("iri"))
-    off = lambda name: t.where((F.col("p") == SH + "deactivated") & (F.col("o") == "true")).select(F.col("s").alias(name), F.lit(True).alias(f"off_{name}"))
-    path = t.where((F.col("p") == SH + "path") & (F.col("o_kind") == "iri")).groupBy(F.col("s").alias("iri")).agg(F.min("o").alias("path"))
-    out = link.join(path, "iri", "left").join(of_type(t, SH + "NodeShape", True).withColumnRenamed("iri", "shape"), "shape", "left_semi")
-    out = out.join(t.where(F.col("p") == SH + "targetClass").select(F.col("s").alias("shape"), F.col("o").alias("class")), "shape", "left")
-    for p, name in (("minCount", "min"), ("maxCount", "max"), ("datatype", "datatype"), ("class", "value_class"), ("severity", "severity")):
-        out = out.join(one(t, SH + p, name), "iri", "left")
-    out = out.join(off("shape"), "shape", "left").join(off("iri"), "iri", "left")
+    """A row for each property constraint of each shape: shape, class, path, min, max, datatype, deactivated, severity. A path that is no IRI is null.
+
+    Triples are made once and what shapes need of them is kept. No table is sent whole: Spark takes parsed triples for much smaller than they are.
+    """
+    p, o = F.col("p"), F.col("o")
+    values = {"minCount": "min", "maxCount": "max", "datatype": "datatype", "class": "value_class", "severity": "severity"}
+    node, off = (p == RDF + "type") & (o == SH + "NodeShape"), (p == SH + "deactivated") & (o == "true")
+    path = (p == SH + "path") & (F.col("o_kind") == "iri")
+    own = off | path | p.isin([SH + x for x in values])
+    kept = cut(t.where(node | own | p.isin(SH + "property", SH + "targetClass")).select("s", "p", "o", "o_kind"))
+    link = kept.where(p == SH + "property").select(F.col("s").alias("shape"), o.alias("iri"))
+    of_iri = kept.where(own).groupBy(F.col("s").alias("iri")).agg(F.min(F.when(path, o)).alias("path"), *[F.min(F.when(p == SH + x, o)).alias(name) for x, name in values.items()], F.bool_or(off).alias("off_iri"))
+    of_shape = kept.where(node | off).groupBy(F.col("s").alias("shape")).agg(F.bool_or(node).alias("is_shape"), F.bool_or(off).alias("off_shape")).where("is_shape")
+    target = kept.where(p == SH + "targetClass").select(F.col("s").alias("shape"), o.alias("class"))
+    out = link.join(of_iri.hint("merge"), "iri", "left").join(of_shape.hint("merge"), "shape").join(target.hint("merge"), "shape", "left")
     return out.select("shape", qname(F.col("class"), namespaces).alias("class"), qname(F.col("path"), namespaces).alias("path"), F.when(F.col("path").isNull(), "expression").otherwise("path").alias("pathKind"), F.col("min").cast("int").alias("min"), F.col("max").cast("int").alias("max"), "datatype", qname(F.col("value_class"), namespaces).alias("valueClass"), (F.coalesce("off_shape", F.lit(False)) | F.coalesce("off_iri", F.lit(False))).alias("deactivated"), shacl_severity(F.col("severity")).alias("severity"))
 
 
